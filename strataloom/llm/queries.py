@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import repeated_lines, survivorship
+from . import contamination, packing, repeated_lines, survivorship
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +29,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_records(spark, sf_dir).where(F.col("descr_id").isNotNull()).select("md5", F.col("descr_id").alias("zlibrary_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records}
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents, or piece of one longer than the largest window, with its container."""
+    return packing.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, pieces, tokens and the share of room used, by window."""
+    return packing.usage(p7_pack(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain at least half of an evaluation item as one passage."""
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records, "p7_pack": p7_pack, "p7_usage": p7_usage, "p8_found": p8_found}
 SQL: dict[str, str] = {}
