@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import contamination, packing, repeated_lines, survivorship
+from . import contamination, packing, repeated_lines, scanned, survivorship
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_records(spark, sf_dir).where(F.col("descr_id").isNotNull()).select("md5", F.col("descr_id").alias("zlibrary_id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect in a scanned body of engineering_docs: furniture, broken words, misread words."""
+    found = scanned.find_defects(table(spark, sf_dir, "engineering_docs"))
+    return found.select("ingest_seq", "line_no", "repaired").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body of engineering_docs, those of scanned pages as continuous paragraphs of right words."""
+    return scanned.repair(table(spark, sf_dir, "engineering_docs"))
+
+
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, or piece of one longer than the largest window, with its container."""
     return packing.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
@@ -44,5 +55,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records, "p7_pack": p7_pack, "p7_usage": p7_usage, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_pack": p7_pack, "p7_usage": p7_usage, "p8_found": p8_found}
 SQL: dict[str, str] = {}
