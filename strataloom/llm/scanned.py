@@ -23,6 +23,8 @@ from ..runtime import materialize
 PAGE_WIDTH, RUN_ON = 100, 2
 #: A word counts as a misreading if a word it may be a misreading of occurs in so many more texts, and in so many at all.
 RATIO, LEAST = 20, 4
+#: The same for words of up to three letters, which are often words of another language.
+RATIO_SHORT = 400
 # Letters and what scanners read in their place.
 CONFUSIONS = [
     ("m", "rn"), ("rn", "m"), ("w", "vv"), ("d", "cl"), ("cl", "d"), ("h", "li"), ("li", "h"), ("b", "li"), ("n", "ii"), ("n", "ri"), ("ri", "n"),
@@ -181,7 +183,7 @@ def _best_readings(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
     types = words.distinct().join(vocab.withColumnRenamed("word", "w"), "w", "left").select("w", F.coalesce("n", F.lit(1)).alias("n"))
     pairs = types.where(F.length("w").between(2, 40)).mapInPandas(run, "w string, c string, n long")
-    hit = pairs.join(vocab.select(F.col("word").alias("c"), F.col("n").alias("cn")), "c").where((F.col("cn") >= LEAST) & (F.col("cn") >= RATIO * F.col("n")))
+    hit = pairs.join(vocab.select(F.col("word").alias("c"), F.col("n").alias("cn")), "c").where((F.col("cn") >= LEAST) & (F.col("cn") >= F.col("n") * F.when(F.length("w") <= 3, RATIO_SHORT).otherwise(RATIO)))
     # of several, the one with fewer signs changed counts first through its frequency; ties fall to the smaller word
     return hit.groupBy("w").agg(F.max_by("c", F.struct("cn", "c")).alias("right"))
 
