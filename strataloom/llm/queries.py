@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import contamination, packing, repeated_lines, scanned, survivorship
+from . import contamination, packing, personal, repeated_lines, scanned, survivorship
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_pack": p7_pack, "p7_usage": p7_usage, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct personal value in a document, as it stands in the text."""
+    spans = personal.find_spans(table(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("s"))
+    return spans.select("doc_id", "s.pii_type", "s.surface").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of its personal values."""
+    return personal.redact(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_pack": p7_pack, "p7_usage": p7_usage, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 SQL: dict[str, str] = {}
