@@ -37,6 +37,11 @@ LANGUAGES = {
 }
 _ORDINALS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "ninth": 9, "tenth": 10}
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
+# Words that titles shorten, up to their stop.
+_SHORT = {
+    "princ": "principles", "intro": "introduction", "introd": "introduction", "found": "foundations", "fdns": "foundations", "handb": "handbook", "hdbk": "handbook",
+    "adv": "advances", "prob": "problems", "probs": "problems", "fund": "fundamentals", "elem": "elements", "th": "theory", "pract": "practice", "gd": "guide", "proc": "proceedings",
+}
 _VOL = r"(?:[\s,;:(\[-]+(?:vol(?:ume)?|v|bd|band|tome|tomo|part|pt|book)\.?\s*(\d{1,3}|[ivx]{1,5})\b[\])]?|[\s,]*[(\[](\d{1,2}|[ivx]{1,5})[\])](?=\W*$|\W+\d?\w*\W*ed)|,\s*(\d{1,2}|[ivx]{1,5})(?=\W*$))"
 _ED = r"[\s,;:(\[-]*\b(\d{1,2}(?=st|nd|rd|th)|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)(?:st|nd|rd|th)?\s+(?:rev(?:ised|\.)?\s+)?ed(?:ition|n)?\b\.?[\])]?"
 _MEDIA = r"[\s-]*[(\[]?\b(?:pdf|e-?book|scan(?:ned)?|epub|djvu|mobi|retail|ocr)\b[)\]]?\s*$"
@@ -61,11 +66,11 @@ def comparable(rec: Column, tab: str, title: Column, people: Column, year: Colum
     cut = main.rlike(r"(?:\.\.\.|…)")
     # an article moved to the end comes back to nothing; a subtitle stands after a colon, dash, stop or in brackets
     main = F.regexp_replace(main, r",\s*(?:the|an?)\s*$", "")
-    main = F.regexp_replace(main, r"\b(princ|intro|found|adv|handb|prob|fund|elem)\.", "$1")
+    main = F.regexp_replace(main, rf"\b({'|'.join(_SHORT)})\.", "$1")
     main = F.regexp_replace(main, r"(?:\s*[:;]\s*|\s+-+\s+|\.{3}.*$|…|\.\s+|\s*[(\[]).*$", "")
     main = F.regexp_replace(F.regexp_replace(main, "&", " and "), r"[^a-z0-9]+", " ")
     main = F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), main, F.lit(" ")), r"^ (?:the|an?) ", " "), r" (?:and|of|in|the|an?)(?= )", ""))
-    for short, long in (("princ", "principles"), ("intro", "introduction"), ("found", "foundations"), ("handb", "handbook")):
+    for short, long in _SHORT.items():
         main = F.regexp_replace(main, rf"^{short}\b", long)
     names = F.filter(F.split(plain(F.coalesce(people, F.lit(""))), r"[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin("and", "transl", "edited", "editor", "eds", "ltd", "sons", "the"))
     code = F.create_map(*[F.lit(x) for k, v in LANGUAGES.items() for w in v.split() for x in (w, k)])
@@ -142,7 +147,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     return by_title.unionByName(by_name).distinct()
 
 
-FEATURES = ["title", "title_exact", "title_near", "names", "names_none", "year_same", "year_none", "year_far", "lang_clash", "pub_same", "pub_clash", "vol_same", "vol_one", "vol_clash", "ed_same", "ed_one", "ed_clash"]
+FEATURES = ["title", "title_exact", "title_near", "word_swap", "word_extra", "names", "names_hit", "names_none", "year_same", "year_none", "year_far", "lang_clash", "pub_same", "pub_clash", "vol_same", "vol_one", "vol_clash", "ed_same", "ed_one", "ed_clash"]
 
 
 def features() -> list[Column]:
@@ -154,6 +159,11 @@ def features() -> list[Column]:
     u1, u2 = F.when(short, F.substr(t1, F.lit(1), n)).otherwise(t1), F.when(short, F.substr(t2, F.lit(1), n)).otherwise(t2)
     d = F.levenshtein(u1, u2, 12)
     sim = F.when(d < 0, 0.0).otherwise(1 - d / F.greatest(F.length(u1), F.length(u2), F.lit(1)))
+    # words of either title that nothing like them stands in the other: on both sides, another work; on one, a cut title
+    w1, w2 = F.split(t1, " "), F.split(t2, " ")
+    r1, r2 = F.array_except(w1, w2), F.array_except(w2, w1)
+    alone = lambda x, y: F.size(F.filter(x, lambda a: (F.length(a) > 3) & ~F.exists(y, lambda b: F.levenshtein(a, b, 2) >= 0)))
+    a1, a2 = alone(r1, r2), alone(r2, r1)
     g1, g2 = F.size("grams1"), F.size("grams2")
     both = (g1 > 0) & (g2 > 0)
     over = F.size(F.array_intersect("grams1", "grams2")) / F.greatest(F.least(g1, g2), F.lit(1))
@@ -164,7 +174,7 @@ def features() -> list[Column]:
     pub_same = pubs & (F.levenshtein("pub1", "pub2", 2) >= 0)
     langs = (F.size("lang1") > 0) & (F.size("lang2") > 0)
     out = [
-        sim, sim >= 0.999, sim >= 0.85, F.when(both, over).otherwise(0.0), ~both, same("y1", "y2"), F.col("y1").isNull() | F.col("y2").isNull(),
+        sim, sim >= 0.999, sim >= 0.85, F.least(a1, a2), F.greatest(a1, a2) - F.least(a1, a2), F.when(both, over).otherwise(0.0), F.arrays_overlap("names1", "names2"), ~both, same("y1", "y2"), F.col("y1").isNull() | F.col("y2").isNull(),
         F.coalesce(F.abs(F.col("y1") - F.col("y2")) > 1, F.lit(False)), langs & ~F.arrays_overlap("lang1", "lang2"), pub_same, pubs & ~pub_same,
         same("vol1", "vol2"), one("vol1", "vol2"), clash("vol1", "vol2"), same("ed1", "ed2"), one("ed1", "ed2"), clash("ed1", "ed2"),
     ]
@@ -178,12 +188,12 @@ def train(pairs: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
     edition as none. Each side gives at most half of the sample, drawn by hash.
     """
     same = F.col("hash1").isNotNull() & (F.col("hash1") == F.col("hash2"))
-    against = (F.col("title") < 0.7) | ((F.col("names") < 0.35) & (F.col("names_none") == 0)) | ((F.col("year_same") == 0) & (F.col("year_none") == 0)) | (F.col("vol_clash") == 1) | (F.col("ed_clash") == 1)
+    against = (F.col("title") < 0.7) | (F.col("word_swap") > 0) | ((F.col("names") < 0.35) & (F.col("names_hit") == 0) & (F.col("names_none") == 0)) | ((F.col("year_same") == 0) & (F.col("year_none") == 0)) | (F.col("vol_clash") == 1) | (F.col("ed_clash") == 1)
     lab = pairs.select(*FEATURES, F.xxhash64("a", "b").alias("h"), F.when(same, 1.0).when(against, 0.0).alias("label")).where("label is not null")
     half = [lab.where(F.col("label") == v).orderBy("h").limit(sample // 2).toPandas() for v in (1.0, 0.0)]
     if min(map(len, half)) < 20:
         # too little to learn from: a plain rule of the same form, saying that title, people and year must agree
-        w = dict(title=10.0, title_near=2.0, names=4.0, names_none=2.0, year_same=2.0, year_none=1.0, pub_same=1.0, pub_clash=-1.0, lang_clash=-1.0, vol_clash=-8.0, vol_one=-3.0, ed_clash=-8.0, year_far=-3.0)
+        w = dict(title=10.0, title_near=2.0, word_swap=-5.0, names=4.0, names_none=2.0, year_same=2.0, year_none=1.0, pub_same=1.0, pub_clash=-1.0, lang_clash=-1.0, vol_clash=-8.0, vol_one=-3.0, ed_clash=-8.0, year_far=-3.0)
         return [w.get(f, 0.0) for f in FEATURES], -12.5
     x = np.vstack([h[FEATURES].to_numpy(float) for h in half])
     y = np.concatenate([np.ones(len(half[0])), np.zeros(len(half[1]))])

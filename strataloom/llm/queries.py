@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import contamination, packing, personal, repeated_lines, scanned, survivorship
+from . import contamination, matching, packing, personal, repeated_lines, scanned, survivorship
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,17 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.repair(table(spark, sf_dir, "engineering_docs"))
 
 
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of two catalogues that describe the same book, with a confidence."""
+    rows = matching.books(table(spark, sf_dir, "libgenli_editions"), table(spark, sf_dir, "libgenrs_updated"), table(spark, sf_dir, "zlib_book"))
+    return matching.match(rows)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of p6_pairs without their confidence."""
+    return p6_pairs(spark, sf_dir).select("rec_a", "rec_b").distinct()
+
+
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, or piece of one longer than the largest window, with its container."""
     return packing.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
@@ -66,5 +77,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redact(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_pack": p7_pack, "p7_usage": p7_usage, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_pack": p7_pack, "p7_usage": p7_usage, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 SQL: dict[str, str] = {}
