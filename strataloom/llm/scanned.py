@@ -59,7 +59,15 @@ def _like(a: str, b: str) -> bool:
     """Equal but for a few signs, or one the beginning of the other."""
     if not a or not b:
         return False
+    if a == b:
+        return True
     n = min(len(a), len(b))
+    if n >= 8 and a[:n] == b[:n]:
+        return True
+    # the exact measure is dear: texts that share hardly a word cannot reach it
+    wa, wb = set(a.split()), set(b.split())
+    if 3 * len(wa & wb) < min(len(wa), len(wb)):
+        return False
     if n >= 8 and SequenceMatcher(None, a[:n], b[:n], autojunk=False).ratio() >= 0.85:
         return True
     return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
@@ -99,7 +107,7 @@ def furniture(lines: list[str], title: str) -> set[int]:
         if twins and not lines[i].rstrip().endswith((".", ",", ";")) and (has or lines[i].strip()[:1].isupper()):
             out.add(i)
     # heads without a number: as a line already found, in capitals or as a repeated title amid the text
-    known = [text for i, text, _ in heads if i in out]
+    known = list(dict.fromkeys(text for i, text, _ in heads if i in out))
     first = next((i for i, s in enumerate(lines) if s.strip()), 0)
     for i, text, _ in heads:
         if i in out or i == first:
@@ -107,7 +115,7 @@ def furniture(lines: list[str], title: str) -> set[int]:
         if not re.search(r"[A-ZÀ-Þ]", lines[i]):
             continue
         alone = not (i > 0 and lines[i - 1].strip() or i + 1 < len(lines) and lines[i + 1].strip())
-        if any(_like(text, k) and abs(len(text) - len(k)) < 4 for k in known) and not alone:
+        if not alone and any(abs(len(text) - len(k)) < 4 and _like(text, k) for k in known):
             out.add(i)
     return out
 
