@@ -102,9 +102,10 @@ def furniture(lines: list[str], title: str) -> set[int]:
         if of_title(text):
             out.add(i)
             continue
-        twins = sum(1 for j, other, _ in heads if j != i and abs(len(other) - len(text)) < 12 and _like(text, other))
-        # a running head repeats, has no sentence end, and does not run on from the line before
-        if twins and not lines[i].rstrip().endswith((".", ",", ";")) and (has or lines[i].strip()[:1].isupper()):
+        # a running head has no sentence end, does not run on from the line before, and repeats
+        if lines[i].rstrip().endswith((".", ",", ";")) or not (has or lines[i].strip()[:1].isupper()):
+            continue
+        if any(j != i and abs(len(other) - len(text)) < 12 and _like(text, other) for j, other, _ in heads):
             out.add(i)
     # heads without a number: as a line already found, in capitals or as a repeated title amid the text
     known = list(dict.fromkeys(text for i, text, _ in heads if i in out))
@@ -124,8 +125,14 @@ def token(w: str) -> str:
     return w.strip(_EDGE).strip(_EDGE + HYPHENS).lower()
 
 
-def read_page(body: str, title: str) -> list[tuple[int, str, str, str]]:
-    """(line, kind, a, b): "furniture"; "break" with the halves of a word; "word" with a word and its original form."""
+def read_page(body: str, title: str, safe: frozenset[str] = frozenset(), seen: dict | None = None) -> list[tuple[int, str, str, str]]:
+    """(line, kind, a, b): "furniture"; "break" with the halves of a word; "word" with a word and its original form.
+
+    Words in ``safe`` are left out. ``seen`` keeps what other pages of the task said about a form.
+    """
+    seen = {} if seen is None else seen
+    if len(seen) > 200_000:
+        seen.clear()
     lines = [s.rstrip("\r") for s in body.split("\n")]
     gone = furniture(lines, title)
     out: list[tuple[int, str, str, str]] = [(i, "furniture", "", "") for i in sorted(gone)]
@@ -143,9 +150,11 @@ def read_page(body: str, title: str) -> list[tuple[int, str, str, str]]:
                 tail[live[n + 1]] = True
                 words = words[:-1]
         for w in words:
-            core = w.strip(_EDGE)
-            if len(core) > 1 and _LETTER.search(core) and not _CODE.fullmatch(core):
-                out.append((i, "word", token(w), core))
+            if w not in seen:
+                core, t = w.strip(_EDGE), token(w)
+                seen[w] = (t, core) if len(core) > 1 and t not in safe and _LETTER.search(core) and not _CODE.fullmatch(core) else None
+            if (got := seen[w]) is not None:
+                out.append((i, "word", *got))
     return out
 
 
@@ -196,10 +205,23 @@ def _best_readings(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return hit.groupBy("w").agg(F.max_by("c", F.struct("cn", "c")).alias("right"))
 
 
-def _analyse(df: DataFrame, key: str, body: str, title: str) -> DataFrame:
+def safe_words(vocab: DataFrame) -> list[str]:
+    """Words so frequent that no word is RATIO times as frequent, which therefore cannot be misreadings.
+
+    They occur in at least one in RATIO of the texts the most frequent word occurs in, so there are at most RATIO times
+    as many as a text has different words: a list that does not grow with the corpus.
+    """
+    top = vocab.agg(F.max("n")).collect()[0][0] or 0
+    return [r[0] for r in vocab.where(F.col("n") * RATIO > top).select("word").collect()]
+
+
+def _analyse(df: DataFrame, key: str, body: str, title: str, safe: list[str]) -> DataFrame:
+    known = df.sparkSession.sparkContext.broadcast(frozenset(safe))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
         for b in batches:
-            rows = [(k, *r) for k, t, s in zip(b["k"], b["t"], b["s"]) for r in read_page(s, t)]
+            rows = [(k, *r) for k, t, s in zip(b["k"], b["t"], b["s"]) for r in read_page(s, t, known.value, seen)]
             yield pd.DataFrame(rows, columns=["k", "line_no", "kind", "a", "b"])
 
     pages = df.where(scanned(F.col(body))).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.col(body).alias("s"))
@@ -214,8 +236,8 @@ def find_defects(df: DataFrame, key: str = "ingest_seq", body: str = "body", tit
     without surrounding punctuation. Null and empty bodies, and bodies that are no page text, have no defects; an empty
     table gives an empty result; equal rows count each; other columns are never read.
     """
-    found = _analyse(df, key, body, title)
     vocab = materialize(vocabulary(df.where(F.col(body).isNotNull()), body))
+    found = _analyse(df, key, body, title, safe_words(vocab))
     joined, kept = F.concat("a", "b"), F.concat("a", F.lit("-"), "b")
     breaks = found.where("kind = 'break'").select("k", "line_no", "a", "b", joined.alias("w1"), kept.alias("w2"))
     # a joined word may itself be misread, so both forms look for a reading like any other word
