@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_broadcast, materialize
-from .learn import Boosted
+from .learn import Boosted, bounded_sample
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 #: Labelled candidates of a type that its trees see at most.
@@ -190,7 +190,7 @@ def train(cand: DataFrame, sample: int = SAMPLE) -> dict[str, Boosted]:
     rows = cand.withColumn("y", F.when(unnamed, 0).otherwise(label)).where(F.col("y").isNotNull()).withColumn("h", F.xxhash64("k", "start", "pii_type"))
     models = {}
     for t in TYPES:
-        b = rows.where(F.col("pii_type") == t).orderBy("h", "k", "start").limit(sample).toPandas()
+        b = bounded_sample(rows.where(F.col("pii_type") == t), "h", sample)
         if len(b) >= 20 and 0 < b["y"].mean() < 1:
             models[t] = Boosted().fit(_matrix(b, True), b["y"].to_numpy(float))
     return models
