@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .learn import logistic
+from .learn import bounded_sample, logistic
 from .survivorship import file_hash
 from .words import plain
 
@@ -56,41 +56,49 @@ def _first(s: Column, rx: str, n: int = 1) -> Column:
     return F.coalesce(*[F.when(F.regexp_extract(s, rx, i) != "", F.regexp_extract(s, rx, i)) for i in range(1, n + 1)])
 
 
-def comparable(rec: Column, tab: str, title: Column, people: Column, year: Column, language: Column, publisher: Column, hash_: Column, subtitle: Column | None = None, volume: Column | None = None, edition: Column | None = None) -> list[Column]:
-    """Columns of the common form. Fields a catalogue lacks are given as None or as a null literal."""
-    t = F.regexp_replace(F.regexp_replace(plain(F.coalesce(title, F.lit(""))), r"[_\s]+", " "), "^ | $", "")
-    t = F.regexp_replace(t, _MEDIA, "")
-    vol = F.coalesce(_number(F.lower(F.trim(volume))) if volume is not None else F.lit(None).cast("int"), _number(_first(t, _VOL, 3)))
-    ed = F.coalesce(_number(F.lower(F.trim(edition))) if edition is not None else F.lit(None).cast("int"), _number(_first(t, _ED)))
-    main = F.regexp_replace(F.regexp_replace(t, _ED, " "), _VOL, " ")
-    cut = main.rlike(r"(?:\.\.\.|…)")
-    # an article moved to the end comes back to nothing; a subtitle stands after a colon, dash, stop or in brackets
-    main = F.regexp_replace(main, r",\s*(?:the|an?)\s*$", "")
-    main = F.regexp_replace(main, rf"\b({'|'.join(_SHORT)})\.", "$1")
-    main = F.regexp_replace(main, r"(?:\s*[:;]\s*|\s+-+\s+|\.{3}.*$|…|\.\s+|\s*[(\[]).*$", "")
-    main = F.regexp_replace(F.regexp_replace(main, "&", " and "), r"[^a-z0-9]+", " ")
-    main = F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), main, F.lit(" ")), r"^ (?:the|an?) ", " "), r" (?:and|of|in|the|an?)(?= )", ""))
-    for short, long in _SHORT.items():
-        main = F.regexp_replace(main, rf"^{short}\b", long)
-    names = F.filter(F.split(plain(F.coalesce(people, F.lit(""))), r"[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin("and", "transl", "edited", "editor", "eds", "ltd", "sons", "the"))
-    code = F.create_map(*[F.lit(x) for k, v in LANGUAGES.items() for w in v.split() for x in (w, k)])
-    lang = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(language, F.lit(""))), r"[^\p{L}]+"), lambda w: F.try_element_at(code, w)), lambda w: w.isNotNull())))
-    pub = F.regexp_replace(plain(F.coalesce(publisher, F.lit(""))), r"\b(?:press|publishing|publishers?|verlag|editions?|books|academic|ltd|inc|co|gmbh|company|and|the|limited)\b|[^a-z0-9]", "")
-    y = F.regexp_extract(F.coalesce(year, F.lit("")), r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1).try_cast("int")
-    return [rec.alias("rec"), F.lit(tab).alias("tab"), main.alias("t"), cut.alias("cut"), F.array_sort(F.array_distinct(names)).alias("names"), y.alias("y"), lang.alias("lang"), pub.alias("pub"), vol.alias("vol"), ed.alias("ed"), file_hash(hash_).alias("hash")]
-
-
-def _trigrams(names: Column) -> Column:
-    grams = F.transform(names, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, year: str, language: str, publisher: str | None = None, hash_: str | None = None, subtitle: str | None = None, volume: str | None = None, edition: str | None = None) -> DataFrame:
+    """The catalogue's rows in the common form; fields it lacks are not named. Each step is a projection of its own, so
+    that a step's result is computed once however often the next one uses it.
+
+    rec, tab; t, cut: title without subtitle, volume and edition, and whether it was cut short; names: hashes of the words
+    of people's names; grams: hashes of their trigrams; y; lang: bits of languages; pub; vol; ed; hash.
+    """
+    col = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    raw = df.select(
+        rec.alias("rec"), plain(F.coalesce(title, F.lit(""))).alias("t"), plain(F.coalesce(people, F.lit(""))).alias("p"), plain(F.coalesce(col(publisher), F.lit(""))).alias("pub"),
+        F.coalesce(year, F.lit("")).alias("y"), F.split(F.lower(F.coalesce(language, F.lit(""))), r"[^\p{L}]+").alias("l"), F.lower(F.trim(col(volume))).alias("v0"), F.lower(F.trim(col(edition))).alias("e0"), col(hash_).alias("h"),
+    )
+    raw = raw.withColumn("t", F.regexp_replace(F.trim(F.regexp_replace("t", r"[_\s]+", " ")), _MEDIA, ""))
+    marked = raw.withColumns({"vt": F.when(F.col("t").rlike(r"\b(?:vol|v|bd|band|tome|tomo|part|pt|book)|[(\[]|,"), _first(F.col("t"), _VOL, 3)), "et": F.when(F.col("t").contains("ed"), _first(F.col("t"), _ED)), "cut": F.col("t").rlike(r"\.\.\.|…")})
+    main = F.when(F.col("et").isNotNull(), F.regexp_replace("t", _ED, " ")).otherwise(F.col("t"))
+    cut1 = marked.withColumn("m", F.when(F.col("vt").isNotNull(), F.regexp_replace(main, _VOL, " ")).otherwise(main))
+    # an article moved to the end falls away; a shortened word loses its stop before stops end the title
+    m = F.regexp_replace(F.regexp_replace("m", r",\s*(?:the|an?)\s*$", ""), rf"\b({'|'.join(_SHORT)})\.", "$1")
+    cut2 = cut1.withColumn("m", F.regexp_replace(m, r"(?:\s*[:;]\s*|\s+-+\s+|\.{3}.*$|…|\.\s+|\s*[(\[]).*$", ""))
+    m = F.filter(F.split(F.replace("m", F.lit("&"), F.lit(" ")), r"[^a-z0-9]+"), lambda w: (w != "") & ~w.isin("and", "of", "in", "the", "a", "an"))
+    short = F.create_map(*[F.lit(x) for kv in _SHORT.items() for x in kv])
+    first = F.coalesce(F.try_element_at(short, F.try_element_at(F.col("m"), F.lit(1))), F.try_element_at(F.col("m"), F.lit(1)))
+    cut3 = cut2.withColumn("m", m).withColumn("t", F.concat_ws(" ", first, F.slice("m", 2, 60)))
+    names = F.array_distinct(F.filter(F.split("p", r"[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin("and", "transl", "edited", "editor", "eds", "ltd", "sons", "the")))
+    bit = {w: 1 << i for i, v in enumerate(LANGUAGES.values()) for w in v.split()}
+    code = F.create_map(*[F.lit(x) for kv in bit.items() for x in kv])
+    lang = F.aggregate("l", F.lit(0), lambda acc, w: acc.bitwiseOR(F.coalesce(F.try_element_at(code, w), F.lit(0))))
+    pub = F.regexp_replace("pub", r"\b(?:press|publishing|publishers?|verlag|editions?|books|academic|ltd|inc|co|gmbh|company|and|the|limited)\b|[^a-z0-9]", "")
+    named = cut3.withColumn("w", names)
+    gram = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: (F.xxhash64(F.substr(w, i, F.lit(3))) % 32749).cast("short"))
+    return named.select(
+        "rec", F.lit(tab).alias("tab"), "t", "cut", F.array_sort(F.transform("w", lambda w: (F.xxhash64(w) % 2147483629).cast("int"))).alias("names"),
+        F.array_distinct(F.flatten(F.transform("w", gram))).alias("grams"), F.regexp_extract("y", r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1).try_cast("int").alias("y"), lang.alias("lang"), F.when(F.length(pub) > 0, pub).alias("pub"),
+        F.coalesce(_number(F.col("v0")), _number(F.col("vt"))).alias("vol"), F.coalesce(_number(F.col("e0")), _number(F.col("et"))).alias("ed"), file_hash(F.col("h")).alias("fh"),
+    ).withColumn("hash", F.when(F.col("fh").isNotNull(), F.xxhash64("fh"))).drop("fh")
 
 
 def books(li: DataFrame, rs: DataFrame, zl: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    a = li.select(*comparable(F.concat(F.lit("li:"), F.col("e_id")), "li", F.col("title"), F.col("authors"), F.col("year"), F.col("language"), none, none, F.col("subtitle"), F.col("volume"), F.col("edition")))
-    b = rs.select(*comparable(F.concat(F.lit("rs:"), F.col("ID")), "rs", F.col("Title"), F.col("Authors"), F.col("Year"), F.col("Language"), F.col("Publisher"), F.col("MD5")))
-    c = zl.select(*comparable(F.concat(F.lit("zl:"), F.col("zlibrary_id")), "zl", F.col("title"), F.col("authors"), F.col("year"), F.col("language"), F.col("publisher"), F.col("md5")))
-    return a.unionByName(b).unionByName(c).withColumn("grams", _trigrams(F.col("names")))
+    """The three catalogues in the common form, each named by its tab and key."""
+    a = comparable(li, "li", F.concat(F.lit("li:"), F.col("e_id")), "title", "authors", "year", "language", None, None, "subtitle", "volume", "edition")
+    b = comparable(rs, "rs", F.concat(F.lit("rs:"), F.col("ID")), "Title", "Authors", "Year", "Language", "Publisher", "MD5")
+    c = comparable(zl, "zl", F.concat(F.lit("zl:"), F.col("zlibrary_id")), "title", "authors", "year", "language", "publisher", "md5")
+    return a.unionByName(b).unionByName(c)
 
 
 def _title_bands(titles: DataFrame) -> DataFrame:
@@ -126,59 +134,73 @@ def _title_bands(titles: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Different pairs (a, b) of classes from two catalogues that share a band. rows: (n, tab, t, names, y)."""
-    titled = rows.where(F.length("t") >= 3).select("n", "tab", "t", F.xxhash64("t").alias("c"))
-    bands = materialize(_title_bands(titled.select("t", "c").distinct()))
+    """(a, b, title features): different pairs of classes from two catalogues that share a band and have similar titles.
+
+    rows: (n, tab, t, cut, names, y). Titles are compared once for each pair of different titles.
+    """
+    titled = rows.where(F.length("t") >= 3).withColumn("c", F.xxhash64("t", "cut"))
+    titles = materialize(titled.select("c", "t", "cut").dropDuplicates(["c"]))
+    bands = materialize(_title_bands(titles))
     left, right = bands.select("band", "key", F.col("c").alias("c1")), bands.select("band", "key", F.col("c").alias("c2"))
     near = left.join(right, ["band", "key"]).where("c1 < c2").select("c1", "c2").distinct()
-    same = titled.select(F.col("c").alias("c1"), F.col("c").alias("c2")).distinct()
-    titles = materialize(near.unionByName(same))
-    one = titled.select(F.col("n").alias("n1"), F.col("tab").alias("tab1"), F.col("c").alias("c1"))
-    two = titled.select(F.col("n").alias("n2"), F.col("tab").alias("tab2"), F.col("c").alias("c2"))
-    by_title = titles.join(one, "c1").join(two, "c2").where("tab1 != tab2 and (c1 != c2 or n1 < n2)")
-    by_title = by_title.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
     # one title word, one name and the year: for titles that are damaged or cut short
     low = lambda arr, i: F.array_min(F.transform(arr, lambda w: F.xxhash64(w, F.lit(i))))
     words = F.filter(F.split("t", " "), lambda w: F.length(w) > 3)
     keys = F.array(*[F.xxhash64(F.lit(i), "y", low(words, i), low(F.col("names"), i)) for i in range(JOINT)])
-    joint = rows.where("y is not null and size(names) > 0 and length(t) >= 3").select("n", "tab", F.posexplode(keys).alias("band", "key"))
-    by_name = joint.alias("l").join(joint.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.n") < F.col("r.n")) & (F.col("l.tab") != F.col("r.tab")))
-    by_name = by_name.select(F.col("l.n").alias("a"), F.col("r.n").alias("b"))
-    return by_title.unionByName(by_name).distinct()
+    joint = titled.where("y is not null and size(names) > 0").select("c", F.explode(keys).alias("key")).distinct()
+    by_name = joint.select("key", F.col("c").alias("c1")).join(joint.select("key", F.col("c").alias("c2")), "key").where("c1 < c2").select("c1", "c2")
+    side = lambda i: titles.select(F.col("c").alias(f"c{i}"), F.col("t").alias(f"t{i}"), F.col("cut").alias(f"cut{i}"))
+    pairs = near.unionByName(by_name).distinct().join(side(1), "c1").join(side(2), "c2")
+    close = pairs.select("c1", "c2", F.struct(*title_features()).alias("tf")).where("tf.title >= 0.6")
+    same = titles.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.struct(*[F.lit(float(f in ("title", "title_exact", "title_near"))).alias(f) for f in TITLE]).alias("tf"))
+    one = titled.select(F.col("n").alias("n1"), F.col("tab").alias("tab1"), F.col("c").alias("c1"))
+    two = titled.select(F.col("n").alias("n2"), F.col("tab").alias("tab2"), F.col("c").alias("c2"))
+    hit = close.unionByName(same).join(one, "c1").join(two, "c2").where("tab1 != tab2 and (c1 != c2 or n1 < n2)")
+    return hit.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"), "tf")
 
 
-FEATURES = ["title", "title_exact", "title_near", "word_swap", "word_extra", "names", "names_hit", "names_none", "year_same", "year_none", "year_far", "lang_clash", "pub_same", "pub_clash", "vol_same", "vol_one", "vol_clash", "ed_same", "ed_one", "ed_clash"]
+TITLE = ["title", "title_exact", "title_near", "word_swap", "word_extra"]
+RECORD = ["names", "names_hit", "names_none", "year_same", "year_none", "year_far", "lang_clash", "pub_same", "pub_clash", "vol_same", "vol_one", "vol_clash", "ed_same", "ed_one", "ed_clash"]
+FEATURES = TITLE + RECORD
 
 
-def features() -> list[Column]:
-    """Similarities of a pair; columns of the two records end in 1 and 2."""
+def title_features() -> list[Column]:
+    """Similarities of two titles t1, t2; cut1, cut2: whether one was cut short."""
     t1, t2 = F.col("t1"), F.col("t2")
     n = F.least(F.length(t1), F.length(t2))
     # a title that was cut short is compared with as much of the other
     short = F.col("cut1") | F.col("cut2")
     u1, u2 = F.when(short, F.substr(t1, F.lit(1), n)).otherwise(t1), F.when(short, F.substr(t2, F.lit(1), n)).otherwise(t2)
-    d = F.levenshtein(u1, u2, 12)
+    d = F.levenshtein(u1, u2, 30)
     sim = F.when(d < 0, 0.0).otherwise(1 - d / F.greatest(F.length(u1), F.length(u2), F.lit(1)))
     # words of either title that nothing like them stands in the other: on both sides, another work; on one, a cut title
     w1, w2 = F.split(t1, " "), F.split(t2, " ")
     r1, r2 = F.array_except(w1, w2), F.array_except(w2, w1)
     alone = lambda x, y: F.size(F.filter(x, lambda a: (F.length(a) > 3) & ~F.exists(y, lambda b: F.levenshtein(a, b, 2) >= 0)))
     a1, a2 = alone(r1, r2), alone(r2, r1)
+    # what a title lacks at its end does not count against it
+    whole = F.startswith(t1, t2) | F.startswith(t2, t1)
+    sim = F.when(whole & (n >= 20), F.greatest(sim, F.lit(0.9))).otherwise(sim)
+    out = [sim, sim >= 0.999, sim >= 0.85, F.least(a1, a2), F.greatest(a1, a2) - F.least(a1, a2)]
+    return [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f) for f, c in zip(TITLE, out)]
+
+
+def record_features() -> list[Column]:
+    """Similarities of the other fields; columns of the two records end in 1 and 2."""
     g1, g2 = F.size("grams1"), F.size("grams2")
     both = (g1 > 0) & (g2 > 0)
     over = F.size(F.array_intersect("grams1", "grams2")) / F.greatest(F.least(g1, g2), F.lit(1))
-    one = lambda x, y: (F.col(x).isNull() != F.col(y).isNull())
+    one = lambda x, y: F.col(x).isNull() != F.col(y).isNull()
     same = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) == F.col(y))
     clash = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) != F.col(y))
-    pubs = (F.col("pub1") != "") & (F.col("pub2") != "")
+    pubs = F.col("pub1").isNotNull() & F.col("pub2").isNotNull()
     pub_same = pubs & (F.levenshtein("pub1", "pub2", 2) >= 0)
-    langs = (F.size("lang1") > 0) & (F.size("lang2") > 0)
     out = [
-        sim, sim >= 0.999, sim >= 0.85, F.least(a1, a2), F.greatest(a1, a2) - F.least(a1, a2), F.when(both, over).otherwise(0.0), F.arrays_overlap("names1", "names2"), ~both, same("y1", "y2"), F.col("y1").isNull() | F.col("y2").isNull(),
-        F.coalesce(F.abs(F.col("y1") - F.col("y2")) > 1, F.lit(False)), langs & ~F.arrays_overlap("lang1", "lang2"), pub_same, pubs & ~pub_same,
+        F.when(both, over).otherwise(0.0), F.arrays_overlap("names1", "names2"), ~both, same("y1", "y2"), F.col("y1").isNull() | F.col("y2").isNull(),
+        F.coalesce(F.abs(F.col("y1") - F.col("y2")) > 1, F.lit(False)), (F.col("lang1") != 0) & (F.col("lang2") != 0) & (F.col("lang1").bitwiseAND(F.col("lang2")) == 0), pub_same, pubs & ~pub_same,
         same("vol1", "vol2"), one("vol1", "vol2"), clash("vol1", "vol2"), same("ed1", "ed2"), one("ed1", "ed2"), clash("ed1", "ed2"),
     ]
-    return [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f) for f, c in zip(FEATURES, out)]
+    return [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f) for f, c in zip(RECORD, out)]
 
 
 def train(pairs: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
@@ -190,7 +212,7 @@ def train(pairs: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
     same = F.col("hash1").isNotNull() & (F.col("hash1") == F.col("hash2"))
     against = (F.col("title") < 0.7) | (F.col("word_swap") > 0) | ((F.col("names") < 0.35) & (F.col("names_hit") == 0) & (F.col("names_none") == 0)) | ((F.col("year_same") == 0) & (F.col("year_none") == 0)) | (F.col("vol_clash") == 1) | (F.col("ed_clash") == 1)
     lab = pairs.select(*FEATURES, F.xxhash64("a", "b").alias("h"), F.when(same, 1.0).when(against, 0.0).alias("label")).where("label is not null")
-    half = [lab.where(F.col("label") == v).orderBy("h").limit(sample // 2).toPandas() for v in (1.0, 0.0)]
+    half = [bounded_sample(lab.where(F.col("label") == v), "h", sample // 2) for v in (1.0, 0.0)]
     if min(map(len, half)) < 20:
         # too little to learn from: a plain rule of the same form, saying that title, people and year must agree
         w = dict(title=10.0, title_near=2.0, word_swap=-5.0, names=4.0, names_none=2.0, year_same=2.0, year_none=1.0, pub_same=1.0, pub_clash=-1.0, lang_clash=-1.0, vol_clash=-8.0, vol_one=-3.0, ed_clash=-8.0, year_far=-3.0)
@@ -211,11 +233,13 @@ def match(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -
     without a title matches nothing; nulls elsewhere count as unknown; an empty catalogue gives no pairs.
     """
     rows = materialize(rows.withColumn("n", F.xxhash64("tab", "t", "cut", "names", "y", "lang", "pub", "vol", "ed", "hash")))
-    reps = materialize(rows.drop("rec").dropDuplicates(["n"]))
-    cand = candidates(reps)
-    side = lambda i, k: reps.select(*[F.col(c).alias(k if c == "n" else f"{c}{i}") for c in reps.columns])
+    reps = rows.drop("rec").dropDuplicates(["n"])
+    cand = candidates(reps.select("n", "tab", "t", "cut", "names", "y"))
+    attrs = ["n", "names", "grams", "y", "lang", "pub", "vol", "ed", "hash"]
+    side = lambda i, k: reps.select(*[F.col(c).alias(k if c == "n" else f"{c}{i}") for c in attrs])
     pairs = cand.join(side(1, "a"), "a").join(side(2, "b"), "b")
-    scored = materialize(pairs.select("a", "b", "hash1", "hash2", *features()).where("title >= 0.6"))
+    feats = [F.col(f"tf.{f}").cast("float").alias(f) for f in TITLE] + [c.cast("float").alias(f) for f, c in zip(RECORD, record_features())]
+    scored = materialize(pairs.select("a", "b", "hash1", "hash2", *feats))
     w, b = train(scored, sample)
     z = sum((F.col(f) * F.lit(float(k)) for f, k in zip(FEATURES, w)), F.lit(float(b)))
     hit = scored.where(~F.coalesce(F.col("hash1") == F.col("hash2"), F.lit(False))).select("a", "b", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= threshold)
