@@ -15,6 +15,8 @@ from itertools import product
 SUFFIX = re.compile(r"(?:jr|sr|ph\.? ?d|m\.?d|esq|ii|iii|iv)\.?", re.I)
 #: Bits of a shape that the corpus never shows, and bits more for each of its symbols.
 UNSEEN, PER_SYMBOL = 14.0, 3.0
+#: Bits of a value that is none by itself.
+ALONE = 100.0
 
 _PEOPLE_SEP = re.compile(r"\s*(?:(?P<strong>[;|\t\n\r]+(?:\s*[;|\t\n\r]+)*|\s/\s|/)|(?P<comma>,(?:\s*,)*)|(?P<conj>\s(?:and|und|et|y)\s|\s?&\s?))\s*")
 _CODE_SEP = re.compile(r"\s*(?:(?P<strong>[;|\t\n\r/]+(?:\s*[;|\t\n\r/]+)*)|(?P<comma>,(?:\s*,)*))\s*|(?P<conj>\s+)")
@@ -146,7 +148,9 @@ def parse(text: str | None, kind: str, book: dict[str, float]) -> list[str]:
     def bits(v: str) -> float:
         if v not in memo:
             s = shape(v)
-            memo[v] = book.get(s, UNSEEN + PER_SYMBOL * len(s))
+            # a suffix or role never begins a value, nor does a firm word make one
+            alone = kind == "people" and (s[:1] in ("J", "R") or not set(s) - set("JRFe,&."))
+            memo[v] = ALONE if alone else book.get(s, UNSEEN + PER_SYMBOL * len(s))
         return memo[v]
 
     best: tuple[float, list[str]] | None = None
