@@ -23,10 +23,12 @@ from .survivorship import file_hash
 from .words import plain
 
 #: Title bands and values in a band; bands of title word, name and year.
-BANDS, ROWS, JOINT = 7, 5, 4
+BANDS, ROWS, JOINT = 8, 7, 4
 #: Labelled pairs the model is fitted on at most.
 SAMPLE = 20_000
 THRESHOLD = 0.5
+#: Titles less similar than this are no candidates.
+LEAST_TITLE = 0.6
 _SALTS = np.random.default_rng(7).integers(1, 2**62, BANDS * ROWS).astype(np.uint64) | np.uint64(1)
 
 # Names and codes of languages.
@@ -146,13 +148,17 @@ def candidates(rows: DataFrame) -> DataFrame:
     # one title word, one name and the year: for titles that are damaged or cut short
     low = lambda arr, i: F.array_min(F.transform(arr, lambda w: F.xxhash64(w, F.lit(i))))
     words = F.filter(F.split("t", " "), lambda w: F.length(w) > 3)
-    keys = F.array(*[F.xxhash64(F.lit(i), "y", low(words, i), low(F.col("names"), i)) for i in range(JOINT)])
-    joint = titled.where("y is not null and size(names) > 0").select("c", F.explode(keys).alias("key")).distinct()
+    # … or two title words and one name, where no year is known
+    dated = [F.when(F.col("y").isNotNull(), F.xxhash64(F.lit(i), "y", low(words, i), low(F.col("names"), i))) for i in range(JOINT)]
+    worded = [F.xxhash64(F.lit(JOINT + i), low(words, i), low(words, JOINT + i), low(F.col("names"), i)) for i in range(JOINT)]
+    joint = titled.where("size(names) > 0").select("c", F.explode(F.array(*dated, *worded)).alias("key")).where("key is not null").distinct()
     by_name = joint.select("key", F.col("c").alias("c1")).join(joint.select("key", F.col("c").alias("c2")), "key").where("c1 < c2").select("c1", "c2")
     side = lambda i: titles.select(F.col("c").alias(f"c{i}"), F.col("t").alias(f"t{i}"), F.col("cut").alias(f"cut{i}"))
     pairs = near.unionByName(by_name).distinct().join(side(1), "c1").join(side(2), "c2")
-    close = pairs.select("c1", "c2", F.struct(*title_features()).alias("tf")).where("tf.title >= 0.6")
-    same = titles.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.struct(*[F.lit(float(f in ("title", "title_exact", "title_near"))).alias(f) for f in TITLE]).alias("tf"))
+    # the generator keeps the filter above the measure, which is then taken once a pair
+    close = pairs.select("*", F.explode(F.array(title_similarity())).alias("sim")).where(F.col("sim") >= LEAST_TITLE)
+    close = close.select("c1", "c2", F.struct(*title_features()).alias("tf"))
+    same = titles.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.struct(*[F.lit(float(f in ("title", "title_exact", "title_near"))).cast("float").alias(f) for f in TITLE]).alias("tf"))
     one = titled.select(F.col("n").alias("n1"), F.col("tab").alias("tab1"), F.col("c").alias("c1"))
     two = titled.select(F.col("n").alias("n2"), F.col("tab").alias("tab2"), F.col("c").alias("c2"))
     hit = close.unionByName(same).join(one, "c1").join(two, "c2").where("tab1 != tab2 and (c1 != c2 or n1 < n2)")
@@ -164,25 +170,29 @@ RECORD = ["names", "names_hit", "names_none", "year_same", "year_none", "year_fa
 FEATURES = TITLE + RECORD
 
 
-def title_features() -> list[Column]:
-    """Similarities of two titles t1, t2; cut1, cut2: whether one was cut short."""
+def title_similarity() -> Column:
+    """Edit similarity of two titles t1, t2; 0 beyond 16 edits. cut1, cut2: whether one was cut short."""
     t1, t2 = F.col("t1"), F.col("t2")
     n = F.least(F.length(t1), F.length(t2))
     # a title that was cut short is compared with as much of the other
     short = F.col("cut1") | F.col("cut2")
     u1, u2 = F.when(short, F.substr(t1, F.lit(1), n)).otherwise(t1), F.when(short, F.substr(t2, F.lit(1), n)).otherwise(t2)
-    d = F.levenshtein(u1, u2, 30)
+    d = F.levenshtein(u1, u2, 16)
     sim = F.when(d < 0, 0.0).otherwise(1 - d / F.greatest(F.length(u1), F.length(u2), F.lit(1)))
+    # what a title lacks at its end does not count against it
+    return F.when((n >= 20) & (F.startswith(t1, t2) | F.startswith(t2, t1)), F.greatest(sim, F.lit(0.9))).otherwise(sim)
+
+
+def title_features() -> list[Column]:
+    """Features of two titles t1, t2 of similarity sim."""
+    sim = F.col("sim")
     # words of either title that nothing like them stands in the other: on both sides, another work; on one, a cut title
-    w1, w2 = F.split(t1, " "), F.split(t2, " ")
+    w1, w2 = F.split("t1", " "), F.split("t2", " ")
     r1, r2 = F.array_except(w1, w2), F.array_except(w2, w1)
     alone = lambda x, y: F.size(F.filter(x, lambda a: (F.length(a) > 3) & ~F.exists(y, lambda b: F.levenshtein(a, b, 2) >= 0)))
     a1, a2 = alone(r1, r2), alone(r2, r1)
-    # what a title lacks at its end does not count against it
-    whole = F.startswith(t1, t2) | F.startswith(t2, t1)
-    sim = F.when(whole & (n >= 20), F.greatest(sim, F.lit(0.9))).otherwise(sim)
     out = [sim, sim >= 0.999, sim >= 0.85, F.least(a1, a2), F.greatest(a1, a2) - F.least(a1, a2)]
-    return [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f) for f, c in zip(TITLE, out)]
+    return [F.coalesce(c.cast("float"), F.lit(0.0).cast("float")).alias(f) for f, c in zip(TITLE, out)]
 
 
 def record_features() -> list[Column]:
@@ -233,7 +243,7 @@ def match(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -
     without a title matches nothing; nulls elsewhere count as unknown; an empty catalogue gives no pairs.
     """
     rows = materialize(rows.withColumn("n", F.xxhash64("tab", "t", "cut", "names", "y", "lang", "pub", "vol", "ed", "hash")))
-    reps = rows.drop("rec").dropDuplicates(["n"])
+    reps = materialize(rows.drop("rec").dropDuplicates(["n"]))
     cand = candidates(reps.select("n", "tab", "t", "cut", "names", "y"))
     attrs = ["n", "names", "grams", "y", "lang", "pub", "vol", "ed", "hash"]
     side = lambda i, k: reps.select(*[F.col(c).alias(k if c == "n" else f"{c}{i}") for c in attrs])
