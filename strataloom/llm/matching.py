@@ -71,9 +71,11 @@ def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, ye
         F.coalesce(year, F.lit("")).alias("y"), F.split(F.lower(F.coalesce(language, F.lit(""))), r"[^\p{L}]+").alias("l"), F.lower(F.trim(col(volume))).alias("v0"), F.lower(F.trim(col(edition))).alias("e0"), col(hash_).alias("h"),
     )
     raw = raw.withColumn("t", F.regexp_replace(F.trim(F.regexp_replace("t", r"[_\s]+", " ")), _MEDIA, ""))
-    marked = raw.withColumns({"vt": F.when(F.col("t").rlike(r"\b(?:vol|v|bd|band|tome|tomo|part|pt|book)|[(\[]|,"), _first(F.col("t"), _VOL, 3)), "et": F.when(F.col("t").contains("ed"), _first(F.col("t"), _ED)), "cut": F.col("t").rlike(r"\.\.\.|…")})
-    main = F.when(F.col("et").isNotNull(), F.regexp_replace("t", _ED, " ")).otherwise(F.col("t"))
-    cut1 = marked.withColumn("m", F.when(F.col("vt").isNotNull(), F.regexp_replace(main, _VOL, " ")).otherwise(main))
+    # the edition goes first, since a volume stands at the end of what is left
+    raw = raw.withColumns({"et": F.when(F.col("t").contains("ed"), _first(F.col("t"), _ED)), "cut": F.col("t").rlike(r"\.\.\.|…")})
+    raw = raw.withColumn("t", F.when(F.col("et").isNotNull(), F.trim(F.regexp_replace("t", _ED, " "))).otherwise(F.col("t")))
+    raw = raw.withColumn("vt", F.when(F.col("t").rlike(r"\b(?:vol|v|bd|band|tome|tomo|part|pt|book)|[(\[]|,"), _first(F.col("t"), _VOL, 3)))
+    cut1 = raw.withColumn("m", F.when(F.col("vt").isNotNull(), F.regexp_replace("t", _VOL, " ")).otherwise(F.col("t")))
     # an article moved to the end falls away; a shortened word loses its stop before stops end the title
     m = F.regexp_replace(F.regexp_replace("m", r",\s*(?:the|an?)\s*$", ""), rf"\b({'|'.join(_SHORT)})\.", "$1")
     cut2 = cut1.withColumn("m", F.regexp_replace(m, r"(?:\s*[:;]\s*|\s+-+\s+|\.{3}.*$|…|\.\s+|\s*[(\[]).*$", ""))
