@@ -9,7 +9,6 @@ Texts that share a key with an item are verified exactly, word by word.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,48 +72,11 @@ def keys(seq: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def passage(item: list[int], text: list[int]) -> bool:
-    """Whether text holds half of the item's words as one passage, in order, up to one in eight being another word."""
-    where: dict[int, list[int]] = {}
-    for j, w in enumerate(text):
-        where.setdefault(w, []).append(j)
-    # longest chain of equal words that rises in both
-    tails: list[int] = []
-    ends: list[int] = []
-    prev: list[int] = []
-    pts: list[tuple[int, int]] = []
-    for i, w in enumerate(item):
-        for j in reversed(where.get(w, ())):
-            p = bisect_left(tails, j)
-            pts.append((i, j))
-            prev.append(ends[p - 1] if p else -1)
-            if p == len(tails):
-                tails.append(j)
-                ends.append(len(pts) - 1)
-            else:
-                tails[p] = j
-                ends[p] = len(pts) - 1
-    chain = []
-    k = ends[-1] if ends else -1
-    while k >= 0:
-        chain.append(pts[k])
-        k = prev[k]
-    chain.reverse()
-    half = (len(item) + 1) // 2
-    need = half - half // 8
-    # any stretch of half the item's words with enough of them in the chain and near enough in the text
-    for a in range(len(chain) - need + 1):
-        i0, j0 = chain[a]
-        i1, j1 = chain[a + need - 1]
-        if i1 - i0 < half and j1 - j0 <= half + half // 4 + INSERTION:
-            return True
-    return False
-
-
 def two_stretches(item: np.ndarray, text: np.ndarray, at: int) -> bool:
-    """As passage(), by counting equal words on the diagonal where item word 0 meets text word ``at`` and on one other.
+    """Whether text holds half of the item's words as one passage, in order, up to one in eight being another word.
 
-    A passage without insertion lies on one diagonal, one with an insertion on two; which words are replaced is free.
+    Equal words are counted on the diagonal where item word 0 meets text word ``at`` and on one other: a passage without
+    insertion lies on one diagonal, one with an insertion on two; which words are replaced is free.
     """
     n = len(item)
     half = (n + 1) // 2
@@ -145,7 +107,7 @@ class Index:
     """Keys of all windows of a block of items."""
 
     def __init__(self, ids: list[int], seqs: list[np.ndarray]):
-        self.ids, self.seqs = ids, [s.tolist() for s in seqs]
+        self.ids = ids
         n = np.array([len(s) for s in seqs], np.int64)
         flat = np.concatenate(seqs) if len(seqs) else np.empty(0, np.int64)
         base = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
@@ -205,16 +167,16 @@ class Index:
         for ti, oi, di in zip(t[keep].tolist(), o[keep].tolist(), d[keep].tolist()):
             if (ti, oi) in found:
                 continue
-            item, arr = self.seqs[oi], self.flat[self.base[oi] : self.base[oi + 1]]
+            arr = self.flat[self.base[oi] : self.base[oi + 1]]
             lo_w = max(int(base[ti]), di - INSERTION)
-            hi_w = min(int(base[ti + 1]), di + len(item) + INSERTION)
+            hi_w = min(int(base[ti + 1]), di + len(arr) + INSERTION)
             words_ = flat[lo_w:hi_w]
             # enough of the words of some half of the item must stand there at all
-            half = (len(item) + 1) // 2
+            half = (len(arr) + 1) // 2
             there = np.concatenate([[0], np.cumsum(np.isin(arr, words_))])
             if (there[half:] - there[:-half]).max() < half - half // 8:
                 continue
-            if passage(item, words_.tolist()) or two_stretches(arr, words_, di - lo_w):
+            if two_stretches(arr, words_, di - lo_w):
                 found.add((ti, oi))
         return sorted(found)
 

@@ -23,7 +23,7 @@ def _folding() -> tuple[str, str]:
     table = {}
     for cp in [*range(0xAA, 0x250), *range(0x1D00, 0x1EFF), *range(0x2070, 0x2190), *range(0x24B6, 0x24EA), *range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800)]:
         ch = chr(cp)
-        if cp > 0xFFFF or not (ch.isalpha() or ch.isdigit()):
+        if cp > 0xFFFF or len(ch.lower()) != 1 or not (ch.isalpha() or ch.isdigit()):
             continue
         plain = "".join(c for c in unicodedata.normalize("NFKD", ch.lower()) if not unicodedata.combining(c))
         if len(plain) == 1 and plain.isascii() and plain.isalnum():
