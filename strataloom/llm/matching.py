@@ -27,7 +27,7 @@ BANDS, ROWS, JOINT = 8, 7, 4
 #: Labelled pairs the model is fitted on at most.
 SAMPLE = 20_000
 THRESHOLD = 0.5
-#: Titles less similar than this are no candidates.
+#: Titles less similar than this are no candidates, nor are those with two foreign words on either side.
 LEAST_TITLE = 0.6
 _SALTS = np.random.default_rng(7).integers(1, 2**62, BANDS * ROWS).astype(np.uint64) | np.uint64(1)
 
@@ -153,13 +153,13 @@ def candidates(rows: DataFrame) -> DataFrame:
     # … or two title words and one name, where no year is known
     dated = [F.when(F.col("y").isNotNull(), F.xxhash64(F.lit(i), "y", low(words, i), low(F.col("names"), i))) for i in range(JOINT)]
     worded = [F.xxhash64(F.lit(JOINT + i), low(words, i), low(words, JOINT + i), low(F.col("names"), i)) for i in range(JOINT)]
-    joint = titled.where("size(names) > 0").select("c", F.explode(F.array(*dated, *worded)).alias("key")).where("key is not null").distinct()
+    joint = titled.where("size(names) > 0").select("c", F.explode(F.array(*dated, *worded)).alias("key")).where("key is not null")
     by_name = joint.select("key", F.col("c").alias("c1")).join(joint.select("key", F.col("c").alias("c2")), "key").where("c1 < c2").select("c1", "c2")
     side = lambda i: titles.select(F.col("c").alias(f"c{i}"), F.col("t").alias(f"t{i}"), F.col("cut").alias(f"cut{i}"))
     pairs = near.unionByName(by_name).distinct().join(side(1), "c1").join(side(2), "c2")
     # the generator keeps the filter above the measure, which is then taken once a pair
     close = pairs.select("*", F.explode(F.array(title_similarity())).alias("sim")).where(F.col("sim") >= LEAST_TITLE)
-    close = close.select("c1", "c2", F.struct(*title_features()).alias("tf"))
+    close = close.select("c1", "c2", F.explode(F.array(F.struct(*title_features()))).alias("tf")).where("tf.word_swap <= 1")
     same = titles.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.struct(*[F.lit(float(f in ("title", "title_exact", "title_near"))).cast("float").alias(f) for f in TITLE]).alias("tf"))
     one = titled.select(F.col("n").alias("n1"), F.col("tab").alias("tab1"), F.col("c").alias("c1"))
     two = titled.select(F.col("n").alias("n2"), F.col("tab").alias("tab2"), F.col("c").alias("c2"))
