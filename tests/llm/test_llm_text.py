@@ -65,7 +65,7 @@ def test_leaks(spark):
 def test_recall_against_exact():
     """Key search against the exact test of every pair on every diagonal."""
     rnd = random.Random(9)
-    seq = lambda t: np.array([zlib.crc32(w.encode()) * 0x9E3779B9 for w in t.split()], np.int64)
+    seq = lambda t: np.array([(zlib.crc32(w.encode()) * 0x9E3779B9) % (1 << 62) for w in t.split()], np.int64)
     items = texts(11, 8, 50)
     docs = [t + " " + planted(items[i % 8], rnd, swaps=rnd.randrange(0, 4)) for i, t in enumerate(texts(12, 16, 40))]
     its, ds = [seq(t) for t in items], [seq(t) for t in docs]
