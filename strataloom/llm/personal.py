@@ -213,6 +213,8 @@ def _scored(cand: DataFrame, models: dict[str, Boosted], threshold: float) -> Da
                 at = np.flatnonzero((b["pii_type"] == t).to_numpy())
                 if len(at):
                     p[at] = m.prob(_matrix(b.iloc[at], False))
+            # wording that speaks against a type halves it: of equal spans the other type then stays
+            p = np.where(b["neg"].to_numpy(bool) & ~b["pos"].to_numpy(bool), p / 2, p)
             got = b.assign(p=p)[["k", "start", "stop", "pii_type", "surface", "p"]]
             yield got[got["p"] >= threshold]
 
