@@ -340,10 +340,10 @@ def col04(s, d):
     return C.upsert_bookmarks(o, new)
 
 
-@R.add("col05_remove_bookmarks", f"SELECT collection_id, document_id FROM {_BM} WHERE document_id % 5 <> 0")
+@R.add("col05_remove_bookmarks", f"SELECT collection_id, document_id FROM {_BM} WHERE note = ''")
 def col05(s, d):
     o = _bookmarks(s, d)
-    return C.remove_bookmarks(o, o.where("document_id % 5 = 0").select("collection_id", "document_id")).select("collection_id", "document_id")
+    return C.remove_bookmarks(o, o.where("note != ''").select("collection_id", "document_id")).select("collection_id", "document_id")
 
 
 QUERIES, SQL = R.queries, R.sql

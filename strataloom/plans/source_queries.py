@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import jobs, requests
 from ..operators import sinks as K
 from ..runtime import shared_dir, table
 from ..sources import files as I
@@ -209,13 +210,13 @@ _LAST = "SELECT id, max(indexed_at) AS last_at FROM engineering_docs GROUP BY id
 
 def _versioned(s, d):
     path = scratch(s)
-    e = eng(s, d).select("id", "title", "indexed_at", "ingest_seq")
-    for part in (0, 1):
-        K.upsert(s, path, e.where(F.col("ingest_seq") % 2 == part), "id", "indexed_at")
+    e = eng(s, d).select("id", "title", "indexed_at", "ingest_seq", "has_code")
+    for code in (False, True):
+        K.upsert(s, path, e.where(F.col("has_code") == code).drop("has_code"), "id", "indexed_at")
     return path
 
 
-@R.add("snk03_upsert", "WITH p AS (SELECT id, indexed_at, title, ingest_seq % 2 AS part FROM engineering_docs), w AS (SELECT id, max(part) AS part FROM p GROUP BY id) SELECT p.id, CAST(max(p.indexed_at) AS VARCHAR) AS indexed_at FROM p JOIN w USING (id, part) GROUP BY p.id")
+@R.add("snk03_upsert", "WITH p AS (SELECT id, indexed_at, title, has_code::INTEGER AS part FROM engineering_docs), w AS (SELECT id, max(part) AS part FROM p GROUP BY id) SELECT p.id, CAST(max(p.indexed_at) AS VARCHAR) AS indexed_at FROM p JOIN w USING (id, part) GROUP BY p.id")
 def snk03(s, d):
     return K.current(s, _versioned(s, d)).select("id", F.col("indexed_at").cast("string").alias("indexed_at"))
 
@@ -274,4 +275,76 @@ def str02(s, d):
     return K.current(s, path).select("id", F.col("indexed_at").cast("string").alias("indexed_at"))
 
 
+@R.add("src12_sitemap", "SELECT DISTINCT url AS loc FROM engineering_docs WHERE trim(url) <> ''")
+def src12(s, d):
+    """Every address in sitemaps that an index names."""
+    base = scratch(s)
+    e = eng(s, d).where("trim(url) != ''")
+    e.select(F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>")).alias("x"), "kind").write.partitionBy("kind").text(f"{base}/maps")
+    kinds = [r.kind for r in e.select("kind").distinct().collect()]
+    index = [(f"<sitemap><loc>http://x.example/{k}.xml</loc></sitemap>",) for k in kinds]
+    s.createDataFrame(index, "x string").coalesce(1).write.text(f"{base}/index")
+    return I.sitemap(s, [f"{base}/index"], lambda u: f"{base}/maps/kind={u.rsplit('/', 1)[-1][:-4]}", whole_files=False)
+
+
+@R.add("src21_pdf_text")
+def src21(s, d):
+    """Text of PDF files, empty for what is none; rows only, as no PDF library is at hand here."""
+    path = scratch(s)
+    table(s, d, "region").select("r_name").coalesce(1).write.text(path)
+    return I.pdf_text(s, path).select("text")
+
+
+@R.add("snk02_index_documents", "SELECT 'fetched' AS counter, count(*) AS n FROM engineering_docs UNION ALL SELECT 'indexed', count(*) FROM engineering_docs WHERE length(trim(title)) > 0 UNION ALL SELECT 'errors', count(*) FROM engineering_docs WHERE NOT coalesce(length(trim(title)) > 0, false)")
+def snk02(s, d):
+    st = jobs.index_documents(s, scratch(s), eng(s, d).select("id", "title", "indexed_at"))
+    return s.createDataFrame(sorted(st.items()), "counter string, n long")
+
+
+@R.add("snk06_dry_run", "SELECT count(*) FILTER (WHERE coalesce(length(trim(md5)) > 0, false)) AS valid, count(*) FILTER (WHERE NOT coalesce(length(trim(md5)) > 0, false)) AS rejected FROM zlib_book")
+def snk06(s, d):
+    st = jobs.dry_run(zl(s, d), ["zlibrary_id", "md5"])
+    return s.createDataFrame([(st["valid"], st["rejected"])], "valid long, rejected long")
+
+
+@R.add("snk08_reindex_all", "SELECT 'repositories' AS source, 'ok ' || count(*) AS outcome FROM engineering_docs WHERE length(trim(id)) > 0 UNION ALL SELECT 'unknown', 'failed KeyError'")
+def snk08(s, d):
+    got = jobs.reindex_all({"repositories": _repos(s, d), "unknown": _repos(s, d)}, lambda name, df: df.count())
+    return s.createDataFrame(sorted(got.items()), "source string, outcome string")
+
+
+@R.add("snk09_seed", "SELECT count(DISTINCT id) AS n FROM engineering_docs")
+def snk09(s, d):
+    e = eng(s, d).select("id", "indexed_at", "has_code")
+    batches = [e.where(F.col("has_code") == c).drop("has_code") for c in (False, True)]
+    n = jobs.seed(s, scratch(s), batches, e.select("id").distinct().count())
+    return s.createDataFrame([(n,)], "n long")
+
+
+@R.add("ret22_request_validation", "SELECT * FROM (VALUES (0, 'valve|5|0.0|hybrid'), (1, 'valve|25|1.0|semantic'), (2, 'query must be a text that is not empty'), (3, 'limit must be a whole number'), (4, 'domain_filter must be a text')) t(n, outcome)")
+def ret22(s, d):
+    bodies = [{"query": " valve "}, {"query": "valve", "limit": 99, "min_score": "7", "mode": "semantic"}, {"query": ""}, {"query": "x", "limit": 1.5}, {"query": "x", "domain_filter": 3}]
+    out = []
+    for i, b in enumerate(bodies):
+        try:
+            r = requests.parse(b)
+            out.append((i, f"{r.query}|{r.limit}|{r.min_score}|{r.mode}"))
+        except ValueError as e:
+            out.append((i, str(e)))
+    return s.createDataFrame(out, "n int, outcome string")
+
+
+@R.add("str03_resume", f"SELECT id, CAST(last_at AS VARCHAR) AS indexed_at FROM ({_LAST})")
+def str03(s, d):
+    """Files that arrive after a first run are taken up by the next, from the checkpoint."""
+    base = scratch(s)
+    e = eng(s, d).select("id", "indexed_at", "source", "has_code")
+    out = None
+    for code in (False, True):
+        e.where(F.col("has_code") == code).drop("has_code").write.mode("append").parquet(f"{base}/in")
+        out = ingest(s, f"{base}/in", e.drop("has_code").schema, f"{base}/table", f"{base}/checkpoint")
+    # a later batch replaces rows of an earlier one, so the latest of each id is taken over the whole stream
+    return out.join(e.groupBy("id").agg(F.max("indexed_at").alias("m")), "id").select("id", F.greatest("indexed_at", "m").cast("string").alias("indexed_at"))
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -121,3 +121,42 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(name, size, md5) of the files of a folder, read as bytes by the executors."""
     f = spark.read.format("binaryFile").load(path)
     return f.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.md5("content").alias("md5"))
+
+
+def sitemap(spark: SparkSession, paths: list[str], resolve, depth: int = 5, whole_files: bool = True) -> DataFrame:
+    """(loc): pages of sitemap files; an index is followed through ``resolve`` (locations to paths) up to ``depth`` times.
+
+    whole_files: each file is one document; else each line is one entry, and files can be split between tasks.
+    """
+    read = lambda tag, ps: spark.read.schema("loc string").option("rowTag", tag).option("multiLine", str(whole_files).lower()).format("xml").load(ps)
+    out, seen = None, set()
+    while paths and depth:
+        depth -= 1
+        seen |= set(paths)
+        part = read("url", paths)
+        out = part if out is None else out.unionByName(part)
+        # an index names few files, so its entries may come to the driver
+        more = [r.loc.strip() for r in read("sitemap", paths).limit(50_000).collect() if r.loc]
+        paths = sorted({p for p in map(resolve, more) if p} - seen)
+    return out.select(F.trim("loc").alias("loc")).where("length(loc) > 0").distinct()
+
+
+def pdf_text(spark: SparkSession, path: str, pages: int = 40) -> DataFrame:
+    """(name, text) of PDF files; "" where the file cannot be read or no PDF library is installed."""
+
+    def one(content: bytes) -> str:
+        try:
+            import io
+
+            from pypdf import PdfReader
+
+            raw = "\n".join((p.extract_text() or "") for p in PdfReader(io.BytesIO(content)).pages[:pages])
+        except Exception:  # noqa: BLE001 - an unreadable file has no text
+            return ""
+        return "\n".join(x for x in map(str.strip, raw.splitlines()) if x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"], "text": [one(bytes(c)) for c in b["content"]]})
+
+    return spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("name"), "content").mapInPandas(run, "name string, text string")
