@@ -128,7 +128,13 @@ def sitemap(spark: SparkSession, paths: list[str], resolve, depth: int = 5, whol
 
     whole_files: each file is one document; else each line is one entry, and files can be split between tasks.
     """
-    read = lambda tag, ps: spark.read.schema("loc string").option("rowTag", tag).option("multiLine", str(whole_files).lower()).format("xml").load(ps)
+
+    def read(tag: str, ps: list[str]) -> DataFrame:
+        if whole_files:
+            return spark.read.schema("loc string").option("rowTag", tag).format("xml").load(ps)
+        loc = F.regexp_extract("value", rf"<{tag}>\s*<loc>([^<]*)</loc>", 1)
+        return spark.read.text(ps).select(T.unescape(loc).alias("loc")).where("loc != ''")
+
     out, seen = None, set()
     while paths and depth:
         depth -= 1
