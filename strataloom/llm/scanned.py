@@ -45,10 +45,11 @@ _HEAD_NUM = re.compile(rf"^(?:[\W_]*(?:p\.|page)?\s*({_NUM})(?:[\W_]*\s{{2,}}|\s
 
 def scanned(body: Column) -> Column:
     """Whether ``body`` is page text: narrow lines, several of which run on into the next."""
-    run_on = F.regexp_count(body, F.lit(r"[^\s.!?:;{}|>][ \t]?\r?\n\p{Ll}"))
+    # cells of a table and lines of code run on as little as a full stop does
+    run_on = F.regexp_count(body, F.lit(r"[^\s.!?:;{}|>][ \t]?\r?\n(?<=[^\n|]{16}[ \t]{0,1}\r?\n)\p{Ll}"))
     wide = F.regexp_count(body, F.lit(rf"[^\n]{{{PAGE_WIDTH + 1},}}"))
     lines = F.regexp_count(body, F.lit(r"\n"))
-    return (run_on >= RUN_ON) & (wide * 5 <= run_on) & (run_on * 4 >= lines)
+    return (run_on >= RUN_ON) & (wide * 5 <= run_on) & (run_on * 5 >= lines)
 
 
 def _bare(s: str) -> str:
