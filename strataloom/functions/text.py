@@ -64,8 +64,13 @@ def chunks(c: Column, size: int = 250, overlap: int = 50) -> Column:
     """Overlapping windows of words; those of at most 20 characters are dropped."""
     step = max(1, size - overlap)
     w = F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " ")), lambda x: F.length(x) > 20)
+
+    def cut(ws: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(step))
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, F.lit(size)), " ")), lambda x: F.length(x) > 20)
+
+    # the words are bound once, not split again for each window
+    return F.flatten(F.transform(F.array(w), cut))
 
 
 def grounded(sentence: Column, text: Column) -> Column:

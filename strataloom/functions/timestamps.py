@@ -169,47 +169,58 @@ def normalize_timestamp(
     p = F.lit(None)
     for rx, built in reversed(cases):
         p = F.when(s.rlike(rx), built).otherwise(p)
-    # transform over one element binds the parsed struct once, so that later uses do not parse again
-    return F.element_at(F.transform(F.array(p), lambda q: _render(q, home, ambiguous, nonexistent)), 1)
+    return _bind(p, lambda q: _render(q, home, ambiguous, nonexistent))
+
+
+def _bind(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _render(q: Column, home: Column, ambiguous: str, nonexistent: str) -> Column:
-    y, mo, d = _int(q["y"]), _month(q["mo"]), _int(q["d"])
-    h0, mi, sec = _int(q["h"]), _int(q["mi"]), F.coalesce(_int(q["sec"]), F.lit(0))
+    h0 = _int(q["h"])
     pm, half = F.startswith(q["ampm"], F.lit("p")), q["ampm"].isNotNull()
     h = F.when(~half, h0).when(h0.between(1, 12), h0 % 12 + F.when(pm, 12).otherwise(0))
+    numbers = F.struct(_int(q["y"]).alias("y"), _month(q["mo"]).alias("mo"), _int(q["d"]).alias("d"), h.alias("h"), _int(q["mi"]).alias("mi"), F.coalesce(_int(q["sec"]), F.lit(0)).alias("sec"))
+    return _bind(numbers, lambda n: _checked(q, n, home, ambiguous, nonexistent))
+
+
+def _checked(q: Column, n: Column, home: Column, ambiguous: str, nonexistent: str) -> Column:
+    y, mo, d = n["y"], n["mo"], n["d"]
     good_y = y.between(1000, 2999)
     good_m = good_y & mo.between(1, 12)
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     last = F.when(mo.isin(4, 6, 9, 11), 30).when(mo == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
     good_d = good_m & d.between(1, last)
-    good_t = good_d & h.between(0, 23) & mi.between(0, 59) & sec.between(0, 59)
+    good_t = good_d & n["h"].between(0, 23) & n["mi"].between(0, 59) & n["sec"].between(0, 59)
     ym = F.concat(_pad(y, 4), F.lit("-"), _pad(mo, 2))
     date = F.concat(ym, F.lit("-"), _pad(d, 2))
-
-    ntz = F.when(good_t, F.make_timestamp_ntz(y, mo, d, h, mi, sec.cast("decimal(8,6)")))
-    z = q["zone"]
-    minutes = _offset_minutes(z, home)
-    bare = F.regexp_replace(z, r"[\[\]()]", "")
-    named = F.when(bare.contains("/"), F.array_join(F.transform(F.split(bare, "/"), lambda w: F.array_join(F.transform(F.split(w, "_"), lambda x: F.initcap(x)), "_")), "/"))
-    named = F.when(named.isin(*KNOWN_ZONES), named)
-    fixed = ntz - F.make_dt_interval(mins=minutes)
-    utc = (
-        F.when(z.isNull(), local_to_utc(ntz, home, ambiguous, nonexistent))
-        .when(minutes.isNotNull(), fixed)
-        .when(named.isNotNull(), local_to_utc(ntz, F.coalesce(named, F.lit("UTC")), ambiguous, nonexistent))
-    )
-    text = utc.cast("string")
-    micros = F.rpad(F.substr(F.coalesce(q["frac"], F.lit("")), F.lit(1), F.lit(6)), 6, "0")
-    instant = F.concat(F.substr(text, F.lit(1), F.lit(10)), F.lit("T"), F.substr(text, F.lit(12), F.lit(8)), F.lit("."), micros, F.lit("Z"))
+    ntz = F.when(good_t, F.make_timestamp_ntz(y, mo, d, n["h"], n["mi"], n["sec"].cast("decimal(8,6)")))
     return (
-        F.when(q["h"].isNotNull(), F.when(good_t, instant))
+        F.when(q["h"].isNotNull(), _bind(ntz, lambda t: _instant(q, t, home, ambiguous, nonexistent)))
         .when(q["d"].isNotNull(), F.when(good_d, date))
         .when(q["mo"].isNotNull(), F.when(good_m, ym))
         .when(good_y, _pad(y, 4))
     )
 
 
+def _instant(q: Column, ntz: Column, home: Column, ambiguous: str, nonexistent: str) -> Column:
+    z = q["zone"]
+    bare = F.regexp_replace(z, r"[\[\]()]", "")
+    named = F.when(bare.contains("/"), F.array_join(F.transform(F.split(bare, "/"), lambda w: F.array_join(F.transform(F.split(w, "_"), lambda x: F.initcap(x)), "_")), "/"))
+
+    def placed(k: Column) -> Column:
+        utc = (
+            F.when(z.isNull(), local_to_utc(ntz, home, ambiguous, nonexistent))
+            .when(k["minutes"].isNotNull(), ntz - F.make_dt_interval(mins=k["minutes"]))
+            .when(k["named"].isin(*KNOWN_ZONES), local_to_utc(ntz, F.coalesce(k["named"], F.lit("UTC")), ambiguous, nonexistent))
+        )
+        return _bind(utc.cast("string"), lambda text: F.concat(F.substr(text, F.lit(1), F.lit(10)), F.lit("T"), F.substr(text, F.lit(12), F.lit(8)), F.lit("."), micros, F.lit("Z")))
+
+    micros = F.rpad(F.substr(F.coalesce(q["frac"], F.lit("")), F.lit(1), F.lit(6)), 6, "0")
+    return F.when(ntz.isNotNull(), _bind(F.struct(_offset_minutes(z, home).alias("minutes"), named.alias("named")), placed))
+
+
 def _known_zones() -> list[str]:
     import zoneinfo
 

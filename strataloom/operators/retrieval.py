@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import materialize
 
 K1, B, RRF_K, CANDIDATES = 1.2, 0.75, 60, 100
 # Boosts of the fields of a lexical query.
@@ -40,20 +41,21 @@ def bm25(df: DataFrame, id_: str, fields: dict[str, Column], query: str, keep: C
     """(id, score) of the documents that match: the best field's boosted BM25, plus a bonus for the whole phrase.
 
     Statistics cover all of df; ``keep`` narrows only the result. A field counts if it holds enough of the terms. No terms
-    match nothing. Terms are counted inside each row, so only numbers are shuffled, and the corpus is read twice at most.
+    match nothing. Terms are counted inside each row, so the corpus is read once and no text is shuffled.
     """
     terms = list(dict.fromkeys(t.lower() for t in query_terms(query)))
     if not terms:
         return df.select(F.col(id_).alias("id"), F.lit(0.0).alias("score")).where("false")
     n, need = len(terms), floor_of(len(terms), short)
     phrase = n > 1 and phrase_boost != 1.0
+    split = df.select(F.col(id_).alias("id"), (keep if keep is not None else F.lit(True)).alias("keep"), *[T.terms(T.empty(c)).alias(f"w_{f}") for f, c in fields.items()])
+    # of a text's words only numbers are kept; they are written once, for the statistics and for the scores
     cols = []
-    for f, c in fields.items():
-        w = T.terms(T.empty(c))
-        # the field's words are bound once; of them only the query's are counted
-        hit = F.filter(w, lambda x: x.isin(terms))
-        cols += [F.size(w).alias(f"dl_{f}"), hit.alias(f"hit_{f}"), T.lower_phrase(c, terms).alias(f"ph_{f}")]
-    base = df.select(F.col(id_).alias("id"), (keep if keep is not None else F.lit(True)).alias("keep"), *cols)
+    for f in fields:
+        w = F.col(f"w_{f}")
+        cols += [F.size(w).alias(f"dl_{f}"), F.filter(w, lambda x: x.isin(terms)).alias(f"hit_{f}")]
+        cols.append((F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).contains(f" {' '.join(terms)} ") if phrase else F.lit(False)).alias(f"ph_{f}"))
+    base = materialize(split.select("id", "keep", *cols))
     tf = lambda f, t: F.size(F.filter(f"hit_{f}", lambda x: x == t))
     aggs = [F.count("*").alias("n")] + [F.avg(f"dl_{f}").alias(f"avg_{f}") for f in fields]
     aggs += [F.sum(F.array_contains(f"hit_{f}", t).cast("long")).alias(f"df_{f}_{i}") for f in fields for i, t in enumerate(terms)]

@@ -8,7 +8,7 @@ from strataloom.operators import documents as D
 from strataloom.operators import linkage as L
 from strataloom.operators import retrieval as S
 from strataloom.operators import sinks as K
-from strataloom.sources import registry
+from strataloom.sources import payloads, registry  # noqa: F401
 
 
 def one(spark, c, **cols):
