@@ -271,24 +271,21 @@ def facet(df: DataFrame, name: str, value: Column, most: int | None = 20) -> Dat
     return c if most is None else c.orderBy(F.desc("count"), "value").limit(most)
 
 
-def approximate_knn(df: DataFrame, id_: str, vector: str, query: list[float], k: int, planes: int = 6, tables: int = 8, seed: int = 5) -> DataFrame:
-    """(id, score): nearest among the vectors that share a signature of random planes with the query in some table.
+def approximate_knn(df: DataFrame, id_: str, vector: str, query: list[float], k: int, planes: int = 6, tables: int = 8, seed: int = 5, flips: int = 2) -> DataFrame:
+    """(id, score): nearest among the vectors whose signature of random planes differs from the query's in at most
+    ``flips`` signs in some table (0: equal signatures only).
 
     Signatures are sums over the vector's entries in the JVM; candidates are then ranked exactly.
     """
     import numpy as np
 
-    rng = np.random.default_rng(seed)
     q = np.array(query, float)
-    any_ = F.lit(False)
-    for _ in range(tables):
-        p = rng.standard_normal((planes, len(q)))
-        same = F.lit(True)
-        for row in p:
-            side = T.dot(F.col(vector), F.array(*[F.lit(float(x)) for x in row])) >= 0
-            same = same & (side == bool(row @ q >= 0))
-        any_ = any_ | same
-    return knn(df.where(any_), id_, vector, query, k)
+    p = np.random.default_rng(seed).standard_normal((tables, planes, len(q)))
+    # planes turned to the query's side, as one expression: a literal an entry would be slow to plan
+    p *= np.where(p @ q >= 0, 1.0, -1.0)[:, :, None]
+    arr = lambda x: f"array({','.join(map(arr, x))})" if isinstance(x, list) else f"{x!r}D"
+    some = F.exists(F.expr(arr(p.tolist())), lambda t: F.size(F.filter(t, lambda row: T.dot(F.col(vector), row) < 0)) <= flips)
+    return knn(df.where(some), id_, vector, query, k)
 
 
 def related(df: DataFrame, id_: str, vector: str, of: int, k: int = 8) -> DataFrame:

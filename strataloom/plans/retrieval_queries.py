@@ -82,7 +82,7 @@ def ret07(s, d):
 
 @R.add("ret08_approximate_knn")
 def ret08(s, d):
-    """Random-plane signatures; rows only, as its recall depends on the planes drawn."""
+    """Random-plane signatures; rows only, as its recall (README) depends on the planes drawn."""
     return S.approximate_knn(table(s, d, "embeddings"), "vec_id", "embedding", _first_vector(s, d), 20)
 
 

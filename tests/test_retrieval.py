@@ -1,5 +1,6 @@
 """Ranking, filters, text functions, answers, linkage, sinks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from strataloom.operators import documents as D
 from strataloom.operators import linkage as L
 from strataloom.operators import retrieval as S
 from strataloom.operators import sinks as K
+from strataloom.plans import retrieval_queries
 from strataloom.sources import payloads, registry  # noqa: F401
 
 
@@ -67,6 +69,21 @@ def test_approximate_recall(spark, sf):
     assert hits >= 0.9 * 50
 
 
+def test_approximate_recall_of_defaults(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").cache()
+    rows = e.collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+
+    def share(i, got):
+        near = np.argsort(-np.round(v @ v[i], 6), kind="stable")[:20]
+        return len({rows[j].vec_id for j in near} & {r.id for r in got.collect()}) / 20
+
+    all_ = [share(i, S.approximate_knn(e, "vec_id", "embedding", list(r.embedding), 20)) for i, r in enumerate(rows) if r.vec_id % 20 == 0]
+    assert len(all_) > 20 and sum(all_) / len(all_) >= 0.9
+    assert share(0, retrieval_queries.QUERIES["ret08_approximate_knn"](spark, sf)) >= 0.9
+
+
 def test_filters():
     assert D.resolve_domain("source:Pelmo", set()).sources == ["pelmo"]
     assert D.resolve_domain("paper", set()).kinds == ["paper"]
