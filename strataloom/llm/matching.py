@@ -23,11 +23,11 @@ from .survivorship import file_hash
 from .words import plain
 
 #: Title bands and values in a band; bands of title word, name and year.
-BANDS, ROWS, JOINT = 8, 7, 4
+BANDS, ROWS, JOINT = 7, 5, 4
 #: Labelled pairs the model is fitted on at most.
 SAMPLE = 20_000
 THRESHOLD = 0.5
-#: Titles less similar than this are no candidates, nor are those with two foreign words on either side.
+#: Titles less similar than this are no candidates.
 LEAST_TITLE = 0.6
 _SALTS = np.random.default_rng(7).integers(1, 2**62, BANDS * ROWS).astype(np.uint64) | np.uint64(1)
 
@@ -146,7 +146,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     titles = materialize(titled.select("c", "t", "cut").dropDuplicates(["c"]))
     bands = materialize(_title_bands(titles))
     left, right = bands.select("band", "key", F.col("c").alias("c1")), bands.select("band", "key", F.col("c").alias("c2"))
-    near = left.join(right, ["band", "key"]).where("c1 < c2").select("c1", "c2").distinct()
+    near = left.join(right, ["band", "key"]).where("c1 < c2").select("c1", "c2")
     # one title word, one name and the year: for titles that are damaged or cut short
     low = lambda arr, i: F.array_min(F.transform(arr, lambda w: F.xxhash64(w, F.lit(i))))
     words = F.filter(F.split("t", " "), lambda w: F.length(w) > 3)
@@ -159,7 +159,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     pairs = near.unionByName(by_name).distinct().join(side(1), "c1").join(side(2), "c2")
     # the generator keeps the filter above the measure, which is then taken once a pair
     close = pairs.select("*", F.explode(F.array(title_similarity())).alias("sim")).where(F.col("sim") >= LEAST_TITLE)
-    close = close.select("c1", "c2", F.explode(F.array(F.struct(*title_features()))).alias("tf")).where("tf.word_swap <= 1")
+    close = close.select("c1", "c2", F.struct(*title_features()).alias("tf"))
     same = titles.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.struct(*[F.lit(float(f in ("title", "title_exact", "title_near"))).cast("float").alias(f) for f in TITLE]).alias("tf"))
     one = titled.select(F.col("n").alias("n1"), F.col("tab").alias("tab1"), F.col("c").alias("c1"))
     two = titled.select(F.col("n").alias("n2"), F.col("tab").alias("tab2"), F.col("c").alias("c2"))
@@ -173,14 +173,16 @@ FEATURES = TITLE + RECORD
 
 
 def title_similarity() -> Column:
-    """Edit similarity of two titles t1, t2; 0 beyond 16 edits. cut1, cut2: whether one was cut short."""
+    """Edit similarity of two titles t1, t2; 0 below LEAST_TITLE. cut1, cut2: whether one was cut short."""
     t1, t2 = F.col("t1"), F.col("t2")
     n = F.least(F.length(t1), F.length(t2))
     # a title that was cut short is compared with as much of the other
     short = F.col("cut1") | F.col("cut2")
     u1, u2 = F.when(short, F.substr(t1, F.lit(1), n)).otherwise(t1), F.when(short, F.substr(t2, F.lit(1), n)).otherwise(t2)
-    d = F.levenshtein(u1, u2, 16)
-    sim = F.when(d < 0, 0.0).otherwise(1 - d / F.greatest(F.length(u1), F.length(u2), F.lit(1)))
+    longest = F.greatest(F.length(u1), F.length(u2), F.lit(1))
+    # more edits than this leave less than LEAST_TITLE
+    d = F.call_function("levenshtein", u1, u2, F.ceil((1 - LEAST_TITLE) * longest).cast("int"))
+    sim = F.when(d < 0, 0.0).otherwise(1 - d / longest)
     # what a title lacks at its end does not count against it
     return F.when((n >= 20) & (F.startswith(t1, t2) | F.startswith(t2, t1)), F.greatest(sim, F.lit(0.9))).otherwise(sim)
 
