@@ -34,8 +34,8 @@ def plain_text(d: Column) -> Column:
 def usable_text(text: Column, title: Column) -> Column:
     """Whether plain ``text`` is a whole, undamaged description of the work that has this title."""
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.length(w) > 4))
-    # a title names its work in the first sentences; its subtitle may be missing there, and words may be misspelt
-    mine, its = words(F.regexp_replace(title, r"(?:\s*[:;(\[]|\s+-+\s|(?<=\p{L}{6})\.\s+\p{L}).*$", "")), words(F.substr(text, F.lit(1), F.lit(400)))
+    # its subtitle may be missing, and words may be misspelt
+    mine, its = words(F.regexp_replace(title, r"(?:\s*[:;(\[]|\s+-+\s|(?<=\p{L}{6})\.\s+\p{L}).*$", "")), words(text)
     near = F.filter(mine, lambda w: F.exists(its, lambda v: F.levenshtein(w, v, 2) >= 0))
     about = (F.size(mine) == 0) | (F.size(F.array_intersect(mine, its)) >= 0.55 * F.size(mine)) | (F.size(near) >= 0.55 * F.size(mine))
     whole = text.rlike(r"[.!?][)\"'»”]*$") & ~text.rlike(r"(?:\.\.\.|…|\[more\]|\(more\)|read more)[.\s]*$")
