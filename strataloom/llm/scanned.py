@@ -10,8 +10,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,6 +58,20 @@ def _bare(s: str) -> str:
     return re.sub(r"[^a-zà-ÿ]+", " ", s.lower()).strip()
 
 
+_letters = lru_cache(10_000)(Counter)
+
+
+def _ratio(a: str, b: str) -> bool:
+    """Whether SequenceMatcher's ratio reaches 0.85. It is dear, so its upper bounds come first: lengths, then letters."""
+    n = len(a) + len(b)
+    if 2.0 * min(len(a), len(b)) / n < 0.85:
+        return False
+    have = _letters(b)
+    if 2.0 * sum(min(k, have[c]) for c, k in _letters(a).items()) / n < 0.85:
+        return False
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
+
+
 def _like(a: str, b: str) -> bool:
     """Equal but for a few signs, or one the beginning of the other."""
     if not a or not b:
@@ -65,13 +81,7 @@ def _like(a: str, b: str) -> bool:
     n = min(len(a), len(b))
     if n >= 8 and a[:n] == b[:n]:
         return True
-    # the exact measure is dear: texts that share hardly a word cannot reach it
-    wa, wb = set(a.split()), set(b.split())
-    if 3 * len(wa & wb) < min(len(wa), len(wb)):
-        return False
-    if n >= 8 and SequenceMatcher(None, a[:n], b[:n], autojunk=False).ratio() >= 0.85:
-        return True
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
+    return n >= 8 and _ratio(a[:n], b[:n]) or _ratio(a, b)
 
 
 def furniture(lines: list[str], title: str) -> set[int]:
