@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import multivalue as mv
 
-#: Size of the code book; rarer shapes cost what an unseen one costs.
-MAX_SHAPES = 1000
-
 
 def code_book(df: DataFrame, fields: dict[str, str]) -> dict[str, dict[str, float]]:
     """Code lengths of shapes by kind of value. fields: column -> "people" or "code"."""
@@ -33,7 +30,7 @@ def code_book(df: DataFrame, fields: dict[str, str]) -> dict[str, dict[str, floa
 
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for c, k in fields.items()])).alias("x")).select("x.*")
     counts = rows.where("length(trim(text)) > 0").mapInPandas(shapes, "kind string, shape string, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "kind", "shape").limit(MAX_SHAPES).collect()
+    top = counts.collect()
     return {kind: mv.code_book({r["shape"]: r["n"] for r in top if r["kind"] == kind}) for kind in mv.SHAPES}
 
 

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strataloom.functions import multivalue as mv
-from strataloom.operators.multivalue import split_values
+from strataloom.operators.multivalue import code_book, split_values
 
 BOOK = mv.code_book({"WW": 500, "W,W": 340, "IW": 150, "W,I": 100, "WWW": 23, "WWR": 15, "WW,J": 15, "W,W&FF": 12, "W,WR": 11, "W,WW": 11, "WoWoW": 5, "WoWoW,W": 7, "W,W&W,W": 6, "WW&WW": 1})
 ISBN = mv.code_book({"13+": 200, "10+": 150})
@@ -74,3 +74,10 @@ def test_operator(spark):
     got = sorted((r.row_key, r.pos, r.val) for r in split_values(df, "id", {"a": "people"}, "t").where("row_key < 5").collect())
     assert got == [(1, 0, "Ada Lund"), (1, 0, "Ada Lund"), (1, 1, "Bea Holt"), (1, 1, "Bea Holt")]
     assert split_values(df.limit(0), "id", {"a": "people"}, "t").count() == 0
+
+
+def test_code_book_holds_every_shape(spark):
+    signs = [chr(0xE000 + i) for i in range(1100)]
+    df = spark.createDataFrame([(i, f"Ada {c};Bea Holt") for i, c in enumerate(signs)], "k long, people string")
+    book = code_book(df, {"people": "people"})["people"]
+    assert len({mv.person_shape(f"Ada {c}") for c in signs}) == 1100 and all(mv.person_shape(f"Ada {c}") in book for c in signs)
