@@ -45,9 +45,9 @@ def _log_tail(g: Column) -> Column:
 
 
 def line_keys(df: DataFrame, key: str, source: str, body: str) -> DataFrame:
-    """(k, s, h): row key, source and the array of line keys in order, written once."""
+    """(k, s, h): row key, source and the array of line keys in order (null for a null body), written once."""
     lines = F.split(F.col(body), "\n")
-    return materialize(df.where(F.col(body).isNotNull()).select(F.col(key).alias("k"), F.col(source).alias("s"), F.transform(lines, line_key).alias("h")))
+    return materialize(df.select(F.col(key).alias("k"), F.col(source).alias("s"), F.transform(lines, line_key).alias("h")))
 
 
 def excess_lines(keys: DataFrame, min_rows: int = 5, min_share: float = 0.08, fdr: float = 0.01) -> DataFrame:
@@ -65,10 +65,9 @@ def excess_lines(keys: DataFrame, min_rows: int = 5, min_share: float = 0.08, fd
     counts = materialize(counts.join(bounded_broadcast(size.select("s", "n"), MAX_BROADCAST), "s"))
     tests = counts.count()
     cand = counts.where((F.col("c") >= min_rows) & (F.col("c") >= F.col("n") * min_share))
-    # rows of other sources with the line, without the sources that repeat it themselves; single rows are not in
-    # counts and are too few to matter beside min_rows
+    # rows of other sources with the line, single ones too, without the sources that repeat it themselves
     rep = cand.groupBy("x").agg(F.sum("c").alias("rc"), F.sum("n").alias("rn"))
-    seen = counts.join(bounded_broadcast(rep, MAX_BROADCAST), "x", "left_semi").groupBy("x").agg(F.sum("c").alias("tc"))
+    seen = once.join(bounded_broadcast(rep, MAX_BROADCAST), "x", "left_semi").groupBy("x").agg(F.count("*").alias("tc"))
     out = rep.join(seen, "x").select("x", (F.col("tc") - F.col("rc")).alias("oc"), (F.lit(total) - F.col("rn")).alias("on"))
     t = cand.join(bounded_broadcast(out, MAX_BROADCAST), "x")
     a, n1, b, n2 = F.col("c").cast("double"), F.col("n").cast("double"), F.col("oc").cast("double"), F.col("on").cast("double")
