@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import materialize
+from ..runtime import bounded_broadcast, materialize
 
 K1, B, RRF_K, CANDIDATES = 1.2, 0.75, 60, 100
 # Boosts of the fields of a lexical query.
@@ -297,7 +297,7 @@ def related(df: DataFrame, id_: str, vector: str, of: int, k: int = 8) -> DataFr
 def key_terms(df: DataFrame, id_: str, text: Column, of: int, most: int = 25) -> list[str]:
     """The terms of one document with the highest tf-idf, for a search without vectors."""
     mine = df.where(F.col(id_) == of).select(F.explode(T.terms(text)).alias("t")).groupBy("t").agg(F.count("*").alias("tf"))
-    freq = df.select(F.explode(F.array_distinct(T.terms(text))).alias("t")).join(F.broadcast(mine.limit(100_000)), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    freq = df.select(F.explode(F.array_distinct(T.terms(text))).alias("t")).join(bounded_broadcast(mine, 100_000), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
     n = df.count()
     best = mine.join(freq, "t").select("t", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("w")).orderBy(F.desc("w"), "t").limit(most)
     return [r["t"] for r in best.collect()]

@@ -84,6 +84,11 @@ def test_approximate_recall_of_defaults(spark, sf):
     assert share(0, retrieval_queries.QUERIES["ret08_approximate_knn"](spark, sf)) >= 0.9
 
 
+def test_key_terms_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100_500))), (2, "other")], "k long, t string")
+    assert len(S.key_terms(df, "k", F.col("t"), 1, 200_000)) == 100_500
+
+
 def test_filters():
     assert D.resolve_domain("source:Pelmo", set()).sources == ["pelmo"]
     assert D.resolve_domain("paper", set()).kinds == ["paper"]
