@@ -2,14 +2,17 @@
 
 Windows of words are walked by shared random bits (Chakraborty, Goldenberg, Koucky 2016): at each step the walk emits the
 word it stands on and moves on or stays, as a bit of that word's hash for that step says. Windows at small edit distance
-give walks at small Hamming distance, so sampling a few steps makes a locality-sensitive key. Items are windowed at every
-word and texts at every third, so a leaked passage meets several windows; each is keyed under several walks and samples.
-Texts that share a key with an item are verified exactly, word by word.
+give walks at small Hamming distance, so sampling a few steps makes a locality-sensitive key. Windows are sized by the
+item: short items have short windows. Items are windowed at every word and texts at every second to fourth, so a leaked
+passage meets several windows; each is keyed under several walks and samples. Items too short for sampling are keyed by
+whole runs of words, of the length that every leaked passage keeps unchanged somewhere.
+Texts that share a key with an item are verified exactly, by edit distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +20,20 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .words import words
 
-#: Words of a window, step between windows of a text, walks, samples of each walk, steps in a sample.
-WIDTH, STRIDE, WALKS, SAMPLES, TAKE = 12, 3, 2, 4, 9
-#: Words that a passage may be interrupted by.
-INSERTION = 120
-#: Items indexed at a time: the query set is worked off in blocks against all rows.
-BLOCK = 20_000
+#: Words of items that are indexed at a time: the query set is worked off in blocks against all rows.
+BLOCK_WORDS = 250_000
+#: Items of fewer words are found by runs of whole words.
+SHORT = 24
+#: Items of fewer words have every text that shares a key with them looked at, whatever else agrees.
+FEW = 32
+#: Least words of an item, then width and stride of its windows and the steps in a sample of their walks.
+SIZES = [(24, 6, 1, 8), (32, 8, 2, 9), (64, 12, 3, 9)]
+WALKS, SAMPLES = 2, 4
+#: Cells of the tables of edit distances that are held at once.
+CELLS = 2_000_000
 _PAD = np.int64(-7046029254386353131)
 
 
@@ -34,66 +43,103 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _plan(seed: int = 20240229) -> list[tuple[int, list[list[int]]]]:
-    """The salt and the sampled steps of each walk; a fixed seed, so that all tasks agree."""
-    rng = np.random.default_rng(seed)
-    steps = 2 * WIDTH
-    return [(int(rng.integers(1, 2**62)), [sorted(rng.choice(steps, TAKE, replace=False).tolist()) for _ in range(SAMPLES)]) for _ in range(WALKS)]
-
-
-PLAN = _plan()
-
-
-def keys(seq: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(walks * samples, windows) of 64-bit keys. ends: where each window's text ends; beyond it a pad stands."""
-    padded = np.append(seq, _PAD)
-    out = np.empty((WALKS * SAMPLES, len(starts)), np.uint64)
-    row = 0
-    for salt, samples in PLAN:
-        coin = _mix(padded, salt)
-        last = max(s[-1] for s in samples)
-        use: dict[int, list[int]] = {}
-        for n, s in enumerate(samples):
-            for j in s:
-                use.setdefault(j, []).append(n)
-        key = np.full((SAMPLES, len(starts)), salt & 0xFFFF, np.uint64)
-        stop = np.minimum(starts + WIDTH, ends)
-        at = starts.copy()
-        for j in range(last + 1):
-            here = np.where(at < stop, at, len(seq))
-            c = coin[here]
-            for n in use.get(j, ()):
-                key[n] = (key[n] ^ c) * np.uint64(0xFF51AFD7ED558CCD)
-                key[n] ^= key[n] >> np.uint64(32)
-            at += ((c >> np.uint64(j + 8)) & np.uint64(1)).astype(np.int64)
-        for n in range(SAMPLES):
-            out[row] = key[n] * np.uint64(2 * row + 1) + np.uint64(row)
-            row += 1
-    return out
-
-
-def two_stretches(item: np.ndarray, text: np.ndarray, at: int) -> bool:
-    """Whether text holds half of the item's words as one passage, in order, up to one in eight being another word.
-
-    Equal words are counted on the diagonal where item word 0 meets text word ``at`` and on one other: a passage without
-    insertion lies on one diagonal, one with an insertion on two; which words are replaced is free.
+def _fold(key: np.ndarray, c: np.ndarray) -> np.ndarray:
+    key = (key ^ c) * np.uint64(0xFF51AFD7ED558CCD)
+    return key ^ (key >> np.uint64(32))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How windows of one width are keyed; ``take`` 0 stands for all their words, without a walk."""
+
+    width: int
+    stride: int
+    take: int = 0
+    seed: int = 20240229
+    plan: list[tuple[int, list[list[int]]]] = field(init=False, compare=False)
+
+    def __post_init__(self) -> None:
+        # a fixed seed, so that all tasks agree
+        rng = np.random.default_rng(self.seed)
+        walk = lambda: (int(rng.integers(1, 2**62)), [sorted(rng.choice(2 * self.width, self.take, replace=False).tolist()) for _ in range(SAMPLES)])
+        object.__setattr__(self, "plan", [walk() for _ in range(WALKS if self.take else 0)])
+
+    def keys(self, seq: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(keys of a window, windows) of 64 bits. ends: where each window's text ends; beyond it a pad stands."""
+        padded = np.append(seq, _PAD)
+        stop = np.minimum(starts + self.width, ends)
+        if not self.take:
+            key = np.full(len(starts), self.width, np.uint64)
+            coin = _mix(padded, 0x5851F42D4C957F2D)
+            for j in range(self.width):
+                key = _fold(key, coin[np.where(starts + j < stop, starts + j, len(seq))])
+            return key[None, :]
+        out = np.empty((WALKS * SAMPLES, len(starts)), np.uint64)
+        row = 0
+        for salt, samples in self.plan:
+            coin = _mix(padded, salt)
+            key = np.full((SAMPLES, len(starts)), salt & 0xFFFF, np.uint64)
+            at = starts.copy()
+            for j in range(max(s[-1] for s in samples) + 1):
+                c = coin[np.where(at < stop, at, len(seq))]
+                for n, s in enumerate(samples):
+                    if j in s:
+                        key[n] = _fold(key[n], c)
+                at += ((c >> np.uint64(j + 8)) & np.uint64(1)).astype(np.int64)
+            for n in range(SAMPLES):
+                out[row] = key[n] * np.uint64(2 * row + 1) + np.uint64(row)
+                row += 1
+        return out
+
+
+def _least(n):
+    """Words of the shortest passage that counts as a leak of an item of n words."""
+    return (n + 1) // 2
+
+
+def scheme_of(n: int) -> Scheme:
+    """The windows of items of n words."""
+    if n >= SHORT:
+        return Scheme(*next(s[1:] for s in reversed(SIZES) if n >= s[0]))
+    # k edits and one insertion leave at most k + 2 stretches, one of which has this many words
+    half = _least(n)
+    k = half // 8
+    return Scheme(-(-(half - k) // (k + 2)), 1)
+
+
+def _meeting(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, j) of every equal pair of words item[x], text[j]."""
+    order = np.argsort(item, kind="stable")
+    lo, hi = np.searchsorted(item[order], text, "left"), np.searchsorted(item[order], text, "right")
+    num = hi - lo
+    j = np.repeat(np.arange(len(text)), num)
+    return order[np.repeat(lo - np.cumsum(num) + num, num) + np.arange(len(j))], j
+
+
+def _on_two_diagonals(item: np.ndarray, text: np.ndarray, diagonals: np.ndarray, at: int) -> bool:
+    """Whether half of the item's words, less one in eight, stand in order on the diagonal ``at`` or on it and one other.
+
+    diagonals: of every equal pair of words. A quick proof of most leaks; that it fails proves nothing.
     """
-    n = len(item)
-    half = (n + 1) // 2
+    n, m = len(item), len(text)
+    half = _least(n)
     need = half - half // 8
-    x = np.arange(n)
+    d, count = np.unique(diagonals, return_counts=True)
+    d = d[np.argsort(-count, kind="stable")[:64]]
 
     def line(d: np.ndarray) -> np.ndarray:
         """Running counts of equal words along the diagonals that start at d."""
-        j = x[:, None] + d[None, :]
-        ok = (j >= 0) & (j < len(text))
+        i = np.arange(n)
+        j = i[:, None] + d[None, :]
+        ok = (j >= 0) & (j < m)
         eq = ok & (text[np.where(ok, j, 0)] == item[:, None])
         return np.concatenate([np.zeros((1, len(d)), np.int32), np.cumsum(eq, 0, dtype=np.int32)])
 
     here = line(np.array([at]))
-    for after in (True, False):
-        shift = np.arange(0, INSERTION + 1)
-        there = line(at + shift) if after else line(at - shift)
+    for others, after in ((d[d >= at], True), (d[d < at], False)):
+        if not len(others):
+            continue
+        there = line(others)
         first, second = (here, there) if after else (there, here)
         gain = first - second
         for a in range(n - half + 1):
@@ -103,110 +149,241 @@ def two_stretches(item: np.ndarray, text: np.ndarray, at: int) -> bool:
     return False
 
 
+def _condensed(text: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+    """text with every run of words that are not ``own`` replaced by ``size`` words that occur nowhere.
+
+    No alignment of fewer edits crosses such a run but by the free insertion.
+    """
+    last = np.maximum.accumulate(np.where(own, np.arange(len(text)), -1))
+    gap = np.arange(len(text)) - last
+    return np.where(own, text, _PAD)[own | (gap <= size)]
+
+
+def contains_passage(item: np.ndarray, text: np.ndarray) -> bool:
+    """Whether a stretch of at least half of the item's words stands in the text with at most one edit for eight words.
+
+    An edit puts in, leaves out or replaces one word; at one place words may be put in without limit and without cost.
+    """
+    n = len(item)
+    half = _least(n)
+    text = _condensed(text, np.isin(text, item), n // 8 + 1)
+    m = len(text)
+    kind = np.int16 if m + n < 2**15 else np.int32
+    ramp = np.arange(m + 1, dtype=kind)
+    size = max(1, CELLS // (m + 1))
+    for s0 in range(0, n - half + 1, size):
+        starts = np.arange(s0, min(n - half + 1, s0 + size))
+        # edits of the words so far against stretches that end at each place: before and after the free insertion
+        before = np.zeros((len(starts), m + 1), kind)
+        after = np.zeros_like(before)
+        for r in range(n - int(starts[0])):
+            live = starts + r < n
+            starts, before, after = starts[live], before[live], after[live]
+            other = (item[starts + r][:, None] != text[None, :]).astype(kind)
+
+            def step(old: np.ndarray, floor: np.ndarray | None = None) -> np.ndarray:
+                new = old + 1
+                np.minimum(new[:, 1:], old[:, :-1] + other, out=new[:, 1:])
+                if floor is not None:
+                    np.minimum(new, floor, out=new)
+                return np.minimum.accumulate(new - ramp, 1) + ramp
+
+            before = step(before)
+            after = step(after, np.minimum.accumulate(before, 1))
+            got = after.min(1)
+            if r + 1 >= half and (got <= (r + 1) // 8).any():
+                return True
+            # edits never become fewer: a start beyond what even the whole rest would allow is done with
+            hope = got <= (n - starts) // 8
+            if not hope.any():
+                break
+            starts, before, after = starts[hope], before[hope], after[hope]
+    return False
+
+
+def _long_enough(row: np.ndarray, x: np.ndarray, rows: int, n: int) -> bool:
+    """Whether two stretches of an item of n words may be long enough, if each lies in one row.
+
+    (row, x): in which rows word x of the item may be equal. A word that is not equal is an edit.
+    """
+    lacks = np.ones((rows, n + 2), bool)
+    lacks[row, x + 1] = False
+    r, at = np.nonzero(lacks)
+    longest = []
+    for e in range(n // 8 + 1):
+        ok = r[e + 1 :] == r[: -e - 1]
+        longest.append(int(np.where(ok, at[e + 1 :] - at[: -e - 1] - 1, 0).max(initial=0)))
+        longest[-1] = max(longest[-1], longest[max(0, e - 1)], min(n, e))
+    return any(longest[a] + longest[size // 8 - a] >= size for size in range(_least(n), n + 1) for a in range(size // 8 + 1))
+
+
+def leaks(item: np.ndarray, text: np.ndarray, at: int) -> bool:
+    """contains_passage(), after what proves or disproves it at less cost; ``at``: a diagonal where both agree much."""
+    n, half = len(item), _least(len(item))
+    need, k = half - half // 8, n // 8
+    # enough of the words of some half of the item must stand in the text at all
+    there = np.concatenate([[0], np.cumsum(np.isin(item, text))])
+    if (there[half:] - there[:-half]).max() < need:
+        return False
+    x, j = _meeting(item, text)
+    if _on_two_diagonals(item, text, j - x, at):
+        return True
+    # k edits leave each of two stretches on k + 1 neighbouring diagonals: no stretch has more equal words than such a band
+    order = np.argsort(j - x, kind="stable")
+    x, d = x[order], (j - x)[order]
+    first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+    count = np.searchsorted(d, d[first] + k, "right") - first
+    if 2 * count.max() < need:
+        return False
+    # what the best band lacks the other stretch must have
+    rich = count >= need - count.max()
+    first, count = first[rich], count[rich]
+    if len(first) * n <= CELLS:
+        row = np.repeat(np.arange(len(first)), count)
+        point = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(row))
+        if not _long_enough(row, x[point], len(first), n):
+            return False
+    inside = np.zeros(len(text) + 1, np.int64)
+    np.add.at(inside, np.clip(d[first], 0, len(text)), 1)
+    np.add.at(inside, np.clip(d[first] + n + k + 1, 0, len(text)), -1)
+    return contains_passage(item, _condensed(text, np.cumsum(inside[:-1]) > 0, k + 1))
+
+
+@dataclass
+class _Keys:
+    """The keys of the windows of all items of one scheme, sorted."""
+
+    scheme: Scheme
+    key: np.ndarray
+    owner: np.ndarray
+    offset: np.ndarray
+    bits: int
+    seen: np.ndarray
+
+
 class Index:
     """Keys of all windows of a block of items."""
 
-    def __init__(self, ids: list[int], seqs: list[np.ndarray]):
-        self.ids = ids
-        n = np.array([len(s) for s in seqs], np.int64)
-        flat = np.concatenate(seqs) if len(seqs) else np.empty(0, np.int64)
-        base = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        self.n, self.flat, self.base = n, flat, base
-        owner = np.repeat(np.arange(len(seqs)), n)
-        starts = np.arange(len(flat), dtype=np.int64)
-        # windows that a text's end cuts short hold too few words to tell items apart
-        full = starts + WIDTH <= base[owner + 1] if len(flat) else np.zeros(0, bool)
-        short = starts == base[owner] if len(flat) else np.zeros(0, bool)
-        sel = full | short
-        starts, owner = starts[sel], owner[sel]
-        k = keys(flat, starts, base[owner + 1])
-        self.key = k.ravel()
-        order = np.argsort(self.key, kind="stable")
-        self.key = self.key[order]
-        self.owner = np.tile(owner, len(k))[order]
-        self.offset = np.tile(starts - base[owner], len(k))[order]
-        self.bits = max(16, int(np.ceil(np.log2(max(len(self.key), 1) * 16))))
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[self.key >> np.uint64(64 - self.bits)] = True
+    def __init__(self, ids: list[int], flat: np.ndarray, n: np.ndarray):
+        self.ids, self.flat, self.n = ids, flat, n
+        self.base = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        groups: dict[Scheme, list[int]] = {}
+        for i, k in enumerate(n.tolist()):
+            if k:
+                groups.setdefault(scheme_of(k), []).append(i)
+        self.tables = [self._table(s, np.array(own)) for s, own in groups.items()]
+
+    def _table(self, scheme: Scheme, own: np.ndarray) -> _Keys:
+        per = np.maximum(1, self.n[own] - scheme.width + 1)
+        owner = np.repeat(own, per)
+        offset = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        k = scheme.keys(self.flat, self.base[owner] + offset, self.base[owner + 1])
+        key = k.ravel()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        bits = max(16, int(np.ceil(np.log2(len(key) * 16))))
+        seen = np.zeros(1 << bits, bool)
+        seen[key >> np.uint64(64 - bits)] = True
+        return _Keys(scheme, key, np.tile(owner, len(k))[order], np.tile(offset, len(k))[order], bits, seen)
+
+    def _meets(self, flat: np.ndarray, base: np.ndarray) -> Iterator[np.ndarray]:
+        """(text, item, diagonal) of the windows that share a key, without repeats within a kind of key."""
+        n = np.diff(base)
+        for t in self.tables:
+            w, stride = t.scheme.width, t.scheme.stride
+            per = np.where(n > 0, np.maximum(1, -(-(n - w + 1) // stride)), 0)
+            text = np.repeat(np.arange(len(n)), per)
+            starts = (base[text] + stride * (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per))).astype(np.int64)
+            for row in t.scheme.keys(flat, starts, base[text + 1]):
+                hit = np.flatnonzero(t.seen[row >> np.uint64(64 - t.bits)])
+                lo = np.searchsorted(t.key, row[hit], "left")
+                num = np.searchsorted(t.key, row[hit], "right") - lo
+                hit, lo, num = hit[num > 0], lo[num > 0], num[num > 0]
+                if not len(hit):
+                    continue
+                at = np.repeat(lo - np.cumsum(num) + num, num) + np.arange(num.sum())
+                who = np.repeat(hit, num)
+                yield np.unique(np.stack([text[who], t.owner[at], starts[who] - base[text[who]] - t.offset[at]]), axis=1)
+
+    def _equal_words(self, flat: np.ndarray, base: np.ndarray, t: np.ndarray, o: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """How many of any half of the item's words at most are equal to those of the text on the diagonal, for each triple."""
+        out = np.zeros(len(t), np.int64)
+        order = np.argsort(o, kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(o[order]) != 0))
+        for rows in np.split(order, cut[1:]):
+            item = self.flat[self.base[o[rows[0]]] : self.base[o[rows[0]] + 1]]
+            half = _least(len(item))
+            size = max(1, CELLS // len(item))
+            for i in range(0, len(rows), size):
+                r = rows[i : i + size]
+                j = (base[t[r]] + d[r])[:, None] + np.arange(len(item))
+                ok = (j >= base[t[r]][:, None]) & (j < base[t[r] + 1][:, None])
+                upto = np.cumsum(ok & (flat[np.where(ok, j, 0)] == item), 1, dtype=np.int32)
+                out[r] = np.maximum(upto[:, half - 1], (upto[:, half:] - upto[:, :-half]).max(1, initial=0))
+        return out
 
     def search(self, flat: np.ndarray, base: np.ndarray) -> list[tuple[int, int]]:
         """(text number, item number) of verified leaks among the texts flat[base[t]:base[t + 1]]."""
-        n = np.diff(base)
-        per = np.where(n > 0, np.maximum(1, -(-(n - WIDTH + 1) // STRIDE)), 0)
-        text = np.repeat(np.arange(len(n)), per)
-        starts = base[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per))
-        k = keys(flat, starts.astype(np.int64), base[text + 1])
-        cand: list[np.ndarray] = []
-        span, items = int(n.max(initial=0)) + 2 * int(self.n.max(initial=0)) + 2, len(self.ids)
-        edge = int(self.n.max(initial=0))
-        for row in k:
-            hit = np.flatnonzero(self.seen[row >> np.uint64(64 - self.bits)])
-            if not len(hit):
-                continue
-            lo = np.searchsorted(self.key, row[hit], "left")
-            num = np.searchsorted(self.key, row[hit], "right") - lo
-            hit, lo, num = hit[num > 0], lo[num > 0], num[num > 0]
-            at = np.repeat(lo - np.cumsum(num) + num, num) + np.arange(num.sum())
-            who = np.repeat(hit, num)
-            # text, item and diagonal in one number, so that sorting makes them distinct
-            cand.append(np.unique((text[who] * items + self.owner[at]) * span + (starts[who] - base[text[who]] - self.offset[at] + edge)))
-        if not cand:
+        met = list(self._meets(flat, base))
+        if not met:
             return []
-        both = np.unique(np.concatenate(cand))
-        t, o, d = both // span // items, both // span % items, both % span - edge
-        d = d + base[t]
-        # the longer of at most two stretches of a passage has 7/32 of the item's words on its diagonal
-        n_item = self.n[o]
-        same = np.zeros(len(t), np.int64)
-        for x in range(int(n_item.max())):
-            j = d + x
-            ok = (x < n_item) & (j >= base[t]) & (j < base[t + 1])
-            same += ok & (flat[np.where(ok, j, 0)] == self.flat[np.where(ok, self.base[o] + x, 0)])
-        keep = same >= np.maximum(1, n_item * 7 // 32 - 1)
-        found: set[tuple[int, int]] = set()
-        for ti, oi, di in zip(t[keep].tolist(), o[keep].tolist(), d[keep].tolist()):
-            if (ti, oi) in found:
-                continue
-            arr = self.flat[self.base[oi] : self.base[oi + 1]]
-            lo_w = max(int(base[ti]), di - INSERTION)
-            hi_w = min(int(base[ti + 1]), di + len(arr) + INSERTION)
-            words_ = flat[lo_w:hi_w]
-            # enough of the words of some half of the item must stand there at all
-            half = (len(arr) + 1) // 2
-            there = np.concatenate([[0], np.cumsum(np.isin(arr, words_))])
-            if (there[half:] - there[:-half]).max() < half - half // 8:
-                continue
-            if two_stretches(arr, words_, di - lo_w):
-                found.add((ti, oi))
-        return sorted(found)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+        t, o, d = np.concatenate(met, axis=1)
+        edge = int(self.n.max())
+        span = int((base[1:] - base[:-1]).max()) + 2 * edge + 2
+        # text, item and diagonal in one number, so that sorting makes them distinct
+        met_at = np.unique((t * len(self.n) + o) * span + d + edge)
+        pair, d = met_at // span, met_at % span - edge
+        t, o = pair // len(self.n), pair % len(self.n)
+        same = self._equal_words(flat, base, t, o, d)
+        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        n = self.n[o[new]]
+        half = _least(n)
+        # the larger of two stretches holds half of the words that must be equal; edits spread them over neighbouring diagonals
+        upto = np.searchsorted(met_at, met_at + self.n[o] // 8, "right")
+        total = np.append(0, np.cumsum(same))
+        keep = np.maximum.reduceat(total[upto] - total[:-1], new) >= np.where(n < FEW, 1, (half - half // 8 + 1) // 2)
+        found: list[tuple[int, int]] = []
+        for a, b in zip(new[keep].tolist(), np.append(new[1:], len(t))[keep].tolist()):
+            item = self.flat[self.base[o[a]] : self.base[o[a] + 1]]
+            text = flat[base[t[a]] : base[t[a] + 1]]
+            if leaks(item, text, int(d[a + same[a:b].argmax()])):
+                found.append((int(t[a]), int(o[a])))
+        return found
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (doc_id, item_id): the text holds at least half of the item as one passage.
 
-    Null and empty texts and items match nothing; equal rows give equal results once; an empty table gives an empty
-    result; only the named columns are read. Items come in blocks of BLOCK, each searched against all texts.
+    Up to one word in eight of the passage may be replaced, left out or put in, and one insertion of any length may
+    interrupt it. Null and empty texts and items match nothing; equal rows give equal results once; an empty table gives
+    an empty result; only the named columns are read. Items come in blocks of about block_words words, each searched
+    against all texts, whose words are then hashed once and written; an item longer than that is a block of its own.
     """
     spark = docs.sparkSession
     hashed = lambda c: F.transform(words(F.col(c)), lambda w: F.xxhash64(w))
     seqs = docs.select(F.col(doc_id).cast("long").alias("k"), hashed(text).alias("w")).where("size(w) > 0")
     rows = items.select(F.col(item_id).cast("long").alias("i"), hashed(item_text).alias("w")).where("size(w) > 0").distinct()
-    blocks = max(1, -(-rows.count() // BLOCK))
+    total = rows.agg(F.sum(F.size("w"))).collect()[0][0] or 0
+    blocks = max(1, -(-total // block_words))
+    if blocks > 1:
+        seqs, rows = materialize(seqs), materialize(rows)
     out = None
     for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()
-        index = spark.sparkContext.broadcast(([r["i"] for r in part], [r["w"] for r in part]))
+        part = rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").toArrow()
+        lists = part.column("w").combine_chunks()
+        n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        # built once here, so that no task builds it again
+        index = spark.sparkContext.broadcast(Index(part.column("i").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False), n))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ids, lists = index.value
-            ix = Index(ids, [np.array(w, np.int64) for w in lists])
+            ix = index.value
             for batch in batches:
                 ks = batch.column(0).to_numpy(zero_copy_only=False)
                 col = batch.column(1)
                 flat = col.flatten().to_numpy(zero_copy_only=False)
                 base = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                got = ix.search(flat, base) if ids else []
-                yield pa.RecordBatch.from_arrays([pa.array([int(ks[t]) for t, _ in got], pa.int64()), pa.array([ids[o] for _, o in got], pa.int64())], ["doc_id", "item_id"])
+                got = ix.search(flat, base) if ix.ids else []
+                yield pa.RecordBatch.from_arrays([pa.array([int(ks[t]) for t, _ in got], pa.int64()), pa.array([ix.ids[o] for _, o in got], pa.int64())], ["doc_id", "item_id"])
 
         found = seqs.mapInArrow(run, "doc_id long, item_id long")
         out = found if out is None else out.unionByName(found)
