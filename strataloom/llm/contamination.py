@@ -201,52 +201,60 @@ def contains_passage(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
-def _long_enough(row: np.ndarray, x: np.ndarray, rows: int, n: int) -> bool:
-    """Whether two stretches of an item of n words may be long enough, if each lies in one row.
+def _stretches(first: np.ndarray, count: np.ndarray, x: np.ndarray, n: int, most: int) -> np.ndarray:
+    """(edits, band): how many words of an item of n words one band holds in a row with at most 0, 1 … ``most`` lacking.
 
-    (row, x): in which rows word x of the item may be equal. A word that is not equal is an edit.
+    x: the item's words that are equal somewhere, by diagonal; a band has those from first to first + count.
     """
-    lacks = np.ones((rows, n + 2), bool)
-    lacks[row, x + 1] = False
+    row = np.repeat(np.arange(len(first)), count)
+    lacks = np.ones((len(first), n + 2), bool)
+    lacks[row, x[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(row))] + 1] = False
     r, at = np.nonzero(lacks)
-    longest = []
-    for e in range(n // 8 + 1):
-        ok = r[e + 1 :] == r[: -e - 1]
-        longest.append(int(np.where(ok, at[e + 1 :] - at[: -e - 1] - 1, 0).max(initial=0)))
-        longest[-1] = max(longest[-1], longest[max(0, e - 1)], min(n, e))
-    return any(longest[a] + longest[size // 8 - a] >= size for size in range(_least(n), n + 1) for a in range(size // 8 + 1))
+    begins = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    out = np.zeros((most + 1, len(first)), np.int64)
+    for e in range(most + 1):
+        size = np.zeros(len(r), np.int64)
+        np.multiply(at[e + 1 :] - at[: -e - 1] - 1, r[e + 1 :] == r[: -e - 1], out=size[: -e - 1])
+        out[e] = np.maximum.reduceat(size, begins)
+    return np.maximum.accumulate(out)
 
 
 def leaks(item: np.ndarray, text: np.ndarray, at: int) -> bool:
     """contains_passage(), after what proves or disproves it at less cost; ``at``: a diagonal where both agree much."""
     n, half = len(item), _least(len(item))
-    need, k = half - half // 8, n // 8
+    need = half - half // 8
+    x, j = _meeting(item, text)
     # enough of the words of some half of the item must stand in the text at all
-    there = np.concatenate([[0], np.cumsum(np.isin(item, text))])
+    there = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n) > 0)])
     if (there[half:] - there[:-half]).max() < need:
         return False
-    x, j = _meeting(item, text)
-    if _on_two_diagonals(item, text, j - x, at):
-        return True
-    # k edits leave each of two stretches on k + 1 neighbouring diagonals: no stretch has more equal words than such a band
     order = np.argsort(j - x, kind="stable")
     x, d = x[order], (j - x)[order]
-    first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-    count = np.searchsorted(d, d[first] + k, "right") - first
-    if 2 * count.max() < need:
-        return False
-    # what the best band lacks the other stretch must have
-    rich = count >= need - count.max()
-    first, count = first[rich], count[rich]
-    if len(first) * n <= CELLS:
-        row = np.repeat(np.arange(len(first)), count)
-        point = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(row))
-        if not _long_enough(row, x[point], len(first), n):
-            return False
+    begins = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+    slot = d[begins] + n
+    upto = np.cumsum(np.bincount(d + n, minlength=int(slot[-1]) + n // 8 + 1))
     inside = np.zeros(len(text) + 1, np.int64)
-    np.add.at(inside, np.clip(d[first], 0, len(text)), 1)
-    np.add.at(inside, np.clip(d[first] + n + k + 1, 0, len(text)), -1)
-    return contains_passage(item, _condensed(text, np.cumsum(inside[:-1]) > 0, k + 1))
+    for k in range(half // 8, n // 8 + 1):
+        # k edits need so long a passage, and leave each of its two stretches on k + 1 neighbouring diagonals: a band
+        size = max(half, 8 * k)
+        count = upto[slot + k] - begins
+        # one stretch has half of the equal words, and what the best band lacks the other must have
+        big, rich = 2 * count >= size - k, count >= size - k - count.max()
+        if not big.any():
+            continue
+        first = begins[rich]
+        if big.sum() * n <= CELLS and 2 * _stretches(begins[big], count[big], x, n, k)[k].max() < size:
+            continue
+        if len(first) * n <= CELLS:
+            each = _stretches(first, count[rich], x, n, k)
+            longest = each.max(1)
+            if not any(longest[e] + longest[k - e] >= size for e in range(k + 1)):
+                continue
+            first = first[each[k] + longest[k] >= size]
+        np.add.at(inside, np.clip(d[first], 0, len(text)), 1)
+        np.add.at(inside, np.clip(d[first] + n + k + 1, 0, len(text)), -1)
+    own = np.cumsum(inside[:-1]) > 0
+    return bool(own.any()) and (_on_two_diagonals(item, text, d, at) or contains_passage(item, _condensed(text, own, n // 8 + 1)))
 
 
 @dataclass
@@ -287,7 +295,7 @@ class Index:
         return _Keys(scheme, key, np.tile(owner, len(k))[order], np.tile(offset, len(k))[order], bits, seen)
 
     def _meets(self, flat: np.ndarray, base: np.ndarray) -> Iterator[np.ndarray]:
-        """(text, item, diagonal) of the windows that share a key, without repeats within a kind of key."""
+        """(text, item, diagonal) of the windows that share a key."""
         n = np.diff(base)
         for t in self.tables:
             w, stride = t.scheme.width, t.scheme.stride
@@ -303,7 +311,7 @@ class Index:
                     continue
                 at = np.repeat(lo - np.cumsum(num) + num, num) + np.arange(num.sum())
                 who = np.repeat(hit, num)
-                yield np.unique(np.stack([text[who], t.owner[at], starts[who] - base[text[who]] - t.offset[at]]), axis=1)
+                yield np.stack([text[who], t.owner[at], starts[who] - base[text[who]] - t.offset[at]])
 
     def _equal_words(self, flat: np.ndarray, base: np.ndarray, t: np.ndarray, o: np.ndarray, d: np.ndarray) -> np.ndarray:
         """How many of any half of the item's words at most are equal to those of the text on the diagonal, for each triple."""
