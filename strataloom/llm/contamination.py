@@ -110,9 +110,12 @@ def scheme_of(n: int) -> Scheme:
 def _meeting(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, j) of every equal pair of words item[x], text[j]."""
     order = np.argsort(item, kind="stable")
-    lo, hi = np.searchsorted(item[order], text, "left"), np.searchsorted(item[order], text, "right")
-    num = hi - lo
-    j = np.repeat(np.arange(len(text)), num)
+    new = np.flatnonzero(np.append(True, np.diff(item[order]) != 0))
+    own = item[order][new]
+    at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+    j = np.flatnonzero(own[at] == text)
+    lo, num = new[at[j]], np.diff(np.append(new, len(item)))[at[j]]
+    j = np.repeat(j, num)
     return order[np.repeat(lo - np.cumsum(num) + num, num) + np.arange(len(j))], j
 
 
@@ -201,8 +204,8 @@ def contains_passage(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
-def _stretches(first: np.ndarray, count: np.ndarray, x: np.ndarray, n: int, most: int) -> np.ndarray:
-    """(edits, band): how many words of an item of n words one band holds in a row with at most 0, 1 … ``most`` lacking.
+def _stretches(first: np.ndarray, count: np.ndarray, x: np.ndarray, n: int, most: int, least: int = 0) -> np.ndarray:
+    """(edits, band): how many words of an item of n words one band holds in a row with at most ``least`` … ``most`` lacking.
 
     x: the item's words that are equal somewhere, by diagonal; a band has those from first to first + count.
     """
@@ -211,12 +214,13 @@ def _stretches(first: np.ndarray, count: np.ndarray, x: np.ndarray, n: int, most
     lacks[row, x[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(row))] + 1] = False
     r, at = np.nonzero(lacks)
     begins = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    out = np.zeros((most + 1, len(first)), np.int64)
-    for e in range(most + 1):
+    lacking = np.diff(np.append(begins, len(r))) - 2
+    out = np.zeros((most + 1 - least, len(first)), np.int64)
+    for e in range(least, most + 1):
         size = np.zeros(len(r), np.int64)
         np.multiply(at[e + 1 :] - at[: -e - 1] - 1, r[e + 1 :] == r[: -e - 1], out=size[: -e - 1])
-        out[e] = np.maximum.reduceat(size, begins)
-    return np.maximum.accumulate(out)
+        out[e - least] = np.where(lacking <= e, n, np.maximum.reduceat(size, begins))
+    return out
 
 
 def leaks(item: np.ndarray, text: np.ndarray, at: int) -> bool:
@@ -243,7 +247,7 @@ def leaks(item: np.ndarray, text: np.ndarray, at: int) -> bool:
         if not big.any():
             continue
         first = begins[rich]
-        if big.sum() * n <= CELLS and 2 * _stretches(begins[big], count[big], x, n, k)[k].max() < size:
+        if big.sum() * n <= CELLS and 2 * _stretches(begins[big], count[big], x, n, k, k).max() < size:
             continue
         if len(first) * n <= CELLS:
             each = _stretches(first, count[rich], x, n, k)
@@ -354,7 +358,9 @@ class Index:
         for a, b in zip(new[keep].tolist(), np.append(new[1:], len(t))[keep].tolist()):
             item = self.flat[self.base[o[a]] : self.base[o[a] + 1]]
             text = flat[base[t[a]] : base[t[a] + 1]]
-            if leaks(item, text, int(d[a + same[a:b].argmax()])):
+            top = a + int(same[a:b].argmax())
+            # enough equal words on one diagonal are a passage without further proof
+            if same[top] >= _least(len(item)) - _least(len(item)) // 8 or leaks(item, text, int(d[top])):
                 found.append((int(t[a]), int(o[a])))
         return found
 
