@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .edits import distances
 from .learn import bounded_sample, logistic
 from .survivorship import file_hash
 from .words import plain
@@ -45,6 +47,8 @@ _SHORT = {
     "adv": "advances", "prob": "problems", "probs": "problems", "fund": "fundamentals", "elem": "elements", "th": "theory", "pract": "practice", "gd": "guide", "proc": "proceedings",
 }
 _VOL = r"(?:[\s,;:(\[-]+(?:vol(?:ume)?|v|bd|band|tome|tomo|part|pt|book)\.?\s*(\d{1,3}|[ivx]{1,5})\b[\])]?|[\s,]*[(\[](\d{1,2}|[ivx]{1,5})[\])](?=\W*$|\W+\d?\w*\W*ed)|,\s*(\d{1,2}|[ivx]{1,5})(?=\W*$))"
+#: Signs that a volume may be named.
+_VOL_SIGNS = ("vol", " v", ",v", "(v", "-v", "bd", "band", "tom", "part", "pt", "book", "(", "[", ",")
 _ED = r"[\s,;:(\[-]*\b(\d{1,2}(?=st|nd|rd|th)|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)(?:st|nd|rd|th)?\s+(?:rev(?:ised|\.)?\s+)?ed(?:ition|n)?\b\.?[\])]?"
 _MEDIA = r"[\s-]*[(\[]?\b(?:pdf|e-?book|scan(?:ned)?|epub|djvu|mobi|retail|ocr)\b[)\]]?\s*$"
 
@@ -54,10 +58,6 @@ def _number(c: Column) -> Column:
     return F.coalesce(c.try_cast("int"), F.try_element_at(names, c))
 
 
-def _first(s: Column, rx: str, n: int = 1) -> Column:
-    return F.coalesce(*[F.when(F.regexp_extract(s, rx, i) != "", F.regexp_extract(s, rx, i)) for i in range(1, n + 1)])
-
-
 def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, year: str, language: str, publisher: str | None = None, hash_: str | None = None, subtitle: str | None = None, volume: str | None = None, edition: str | None = None) -> DataFrame:
     """The catalogue's rows in the common form; fields it lacks are not named. Each step is a projection of its own, so
     that a step's result is computed once however often the next one uses it.
@@ -70,19 +70,24 @@ def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, ye
         rec.alias("rec"), plain(F.coalesce(title, F.lit(""))).alias("t"), plain(F.coalesce(people, F.lit(""))).alias("p"), plain(F.coalesce(col(publisher), F.lit(""))).alias("pub"),
         F.coalesce(year, F.lit("")).alias("y"), F.split(F.lower(F.coalesce(language, F.lit(""))), r"[^\p{L}]+").alias("l"), F.lower(F.trim(col(volume))).alias("v0"), F.lower(F.trim(col(edition))).alias("e0"), col(hash_).alias("h"),
     )
-    raw = raw.withColumn("t", F.regexp_replace(F.trim(F.regexp_replace("t", r"[_\s]+", " ")), _MEDIA, ""))
+    # patterns are dear, so each waits for a sign that it may match, and is run once
+    some = lambda c, *signs: reduce(lambda x, y: x | y, [F.col(c).contains(x) for x in signs])
+    when = lambda c, signs, then: F.when(some(c, *signs), then).otherwise(F.col(c))
+    raw = raw.withColumn("t", when("t", ("_", "  ", "\t", "\n", "\r", "\u00a0"), F.regexp_replace("t", r"[_\s]+", " "))).withColumn("t", F.trim("t"))
+    raw = raw.withColumn("t", when("t", ("pdf", "book", "scan", "epub", "djvu", "mobi", "retail", "ocr"), F.regexp_replace("t", _MEDIA, "")))
     # the edition goes first, since a volume stands at the end of what is left
-    raw = raw.withColumns({"et": F.when(F.col("t").contains("ed"), _first(F.col("t"), _ED)), "cut": F.col("t").rlike(r"\.\.\.|…")})
-    raw = raw.withColumn("t", F.when(F.col("et").isNotNull(), F.trim(F.regexp_replace("t", _ED, " "))).otherwise(F.col("t")))
-    raw = raw.withColumn("vt", F.when(F.col("t").rlike(r"\b(?:vol|v|bd|band|tome|tomo|part|pt|book)|[(\[]|,"), _first(F.col("t"), _VOL, 3)))
-    cut1 = raw.withColumn("m", F.when(F.col("vt").isNotNull(), F.regexp_replace("t", _VOL, " ")).otherwise(F.col("t")))
+    raw = raw.withColumns({"et": F.when(F.col("t").contains(" ed"), F.regexp_extract("t", _ED, 1)), "cut": some("t", "...", "…")})
+    raw = raw.withColumns({"t": F.when(F.col("et") != "", F.trim(F.regexp_replace("t", _ED, " "))).otherwise(F.col("t")), "et": F.when(F.col("et") != "", F.col("et"))})
+    raw = raw.withColumn("vm", F.when(some("t", *_VOL_SIGNS), F.regexp_extract("t", _VOL, 0)))
+    cut1 = raw.withColumns({"m": F.when(F.col("vm") != "", F.regexp_replace("t", _VOL, " ")).otherwise(F.col("t")), "vt": F.when(F.col("vm") != "", F.regexp_extract("vm", r"(\d{1,3}|[ivx]{1,5})\W*$", 1))})
     # an article moved to the end falls away; a shortened word loses its stop before stops end the title
-    m = F.regexp_replace(F.regexp_replace("m", r",\s*(?:the|an?)\s*$", ""), rf"\b({'|'.join(_SHORT)})\.", "$1")
-    cut2 = cut1.withColumn("m", F.regexp_replace(m, r"(?:\s*[:;]\s*|\s+-+\s+|\.{3}.*$|…|\.\s+|\s*[(\[]).*$", ""))
-    m = F.filter(F.split(F.replace("m", F.lit("&"), F.lit(" ")), r"[^a-z0-9]+"), lambda w: (w != "") & ~w.isin("and", "of", "in", "the", "a", "an"))
+    cut1 = cut1.withColumn("m", when("m", (", the", ", a", ",the", ",a"), F.regexp_replace("m", r",\s*(?:the|an?)\s*$", "")))
+    cut1 = cut1.withColumn("m", when("m", (".",), F.regexp_replace("m", rf"\b({'|'.join(_SHORT)})\.", "$1")))
+    cut2 = cut1.withColumn("m", when("m", (":", ";", "-", ".", "…", "(", "["), F.regexp_replace("m", r"(?:\s*[:;]\s*|\s+-+\s+|\.{3}.*$|…|\.\s+|\s*[(\[]).*$", "")))
+    m = F.filter(F.split("m", r"[^a-z0-9]+"), lambda w: (w != "") & ~w.isin("and", "of", "in", "the", "a", "an"))
     short = F.create_map(*[F.lit(x) for kv in _SHORT.items() for x in kv])
     first = F.coalesce(F.try_element_at(short, F.try_element_at(F.col("m"), F.lit(1))), F.try_element_at(F.col("m"), F.lit(1)))
-    cut3 = cut2.withColumn("m", m).withColumn("t", F.concat_ws(" ", first, F.slice("m", 2, 60)))
+    cut3 = cut2.withColumn("m", m).withColumn("t", F.concat_ws(" ", first, F.slice("m", F.lit(2), F.greatest(F.size("m"), F.lit(1)))))
     names = F.array_distinct(F.filter(F.split("p", r"[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin("and", "transl", "edited", "editor", "eds", "ltd", "sons", "the")))
     bit = {w: 1 << i for i, v in enumerate(LANGUAGES.values()) for w in v.split()}
     code = F.create_map(*[F.lit(x) for kv in bit.items() for x in kv])
@@ -106,7 +111,7 @@ def books(li: DataFrame, rs: DataFrame, zl: DataFrame) -> DataFrame:
 
 
 def _title_bands(titles: DataFrame) -> DataFrame:
-    """(t, band, key): a row for each band of each different title."""
+    """(band, key, c, t, cut): a row for each band of each different title."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,39 +137,79 @@ def _title_bands(titles: DataFrame) -> DataFrame:
                 for m in mins[band * ROWS : (band + 1) * ROWS]:
                     key = (key ^ m) * np.uint64(0xFF51AFD7ED558CCD)
                     key ^= key >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(np.full(len(ts), band, np.int32)), pa.array(key.astype(np.int64))], ["c", "band", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ts), band, np.int32)), pa.array(key.astype(np.int64)), b.column(1), b.column(0), b.column(2)], ["band", "key", "c", "t", "cut"])
+
+    return titles.select("t", "c", "cut").mapInArrow(run, "band int, key long, c long, t string, cut boolean")
+
+
+def similar(pairs: DataFrame, least: float = LEAST_TITLE) -> DataFrame:
+    """(c1, c2, t1, t2, sim): the pairs (c1, c2, t1, t2, cut1, cut2) of titles of edit similarity ``least`` or more.
 
-    return titles.select("t", "c").mapInArrow(run, "c long, band int, key long")
+    A title that was cut short is compared with as much of the other; what a title of twenty letters or more lacks at its
+    end counts as a tenth at most. Titles are plain ASCII.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = []
+            for i in (2, 3):
+                col = b.column(i)
+                col = col.cast(pa.large_string())
+                at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+                sides.append((np.frombuffer(col.buffers()[2] or b"", np.uint8), at[:-1], np.diff(at)))
+            (d1, at1, n1), (d2, at2, n2) = sides
+            short = b.column(4).to_numpy(zero_copy_only=False) | b.column(5).to_numpy(zero_copy_only=False)
+            n = np.minimum(n1, n2)
+            m1, m2 = np.where(short, n, n1), np.where(short, n, n2)
+            d = distances((d1, d2), (at1, at2), (m1, m2))
+            sim = 1 - d / np.maximum(np.maximum(m1, m2), 1)
+            # one begins with the other: as many edits as it is longer, and equal as far as the shorter one goes
+            lacks = np.flatnonzero((n >= 20) & (d == np.abs(m1 - m2)) & (sim < 0.9))
+            for i in lacks.tolist():
+                k = int(n[i])
+                if np.array_equal(d1[at1[i] : at1[i] + k], d2[at2[i] : at2[i] + k]):
+                    sim[i] = 0.9
+            ok = pa.array(sim >= least)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(ok) for i in range(4)), pa.array(sim).filter(ok)], ["c1", "c2", "t1", "t2", "sim"])
+
+    return pairs.select("c1", "c2", "t1", "t2", "cut1", "cut2").mapInArrow(run, "c1 long, c2 long, t1 string, t2 string, sim double")
+
+
+#: What is compared of two records besides their titles.
+ATTRS = ["names", "grams", "y", "lang", "pub", "vol", "ed", "hash"]
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b, title features): different pairs of classes from two catalogues that share a band and have similar titles.
+    """(a, b, tf, fields of both): different pairs of classes from two catalogues that share a band and have similar titles.
 
-    rows: (n, tab, t, cut, names, y). Titles are compared once for each pair of different titles.
+    rows: (n, tab, t, cut and ATTRS). Titles are compared where they meet, once for each pair of different titles and band,
+    so that only similar ones are shuffled on.
     """
     titled = rows.where(F.length("t") >= 3).withColumn("c", F.xxhash64("t", "cut"))
     titles = materialize(titled.select("c", "t", "cut").dropDuplicates(["c"]))
+    side = lambda df, i: df.select(*[F.col(c) if c in ("band", "key") else F.col(c).alias(f"{c}{i}") for c in df.columns])
     bands = materialize(_title_bands(titles))
-    left, right = bands.select("band", "key", F.col("c").alias("c1")), bands.select("band", "key", F.col("c").alias("c2"))
-    near = left.join(right, ["band", "key"]).where("c1 < c2").select("c1", "c2")
+    near = similar(side(bands, 1).join(side(bands, 2), ["band", "key"]).where("c1 < c2"))
     # one title word, one name and the year: for titles that are damaged or cut short
     low = lambda arr, i: F.array_min(F.transform(arr, lambda w: F.xxhash64(w, F.lit(i))))
     words = F.filter(F.split("t", " "), lambda w: F.length(w) > 3)
     # … or two title words and one name, where no year is known
-    dated = [F.when(F.col("y").isNotNull(), F.xxhash64(F.lit(i), "y", low(words, i), low(F.col("names"), i))) for i in range(JOINT)]
-    worded = [F.xxhash64(F.lit(JOINT + i), low(words, i), low(words, JOINT + i), low(F.col("names"), i)) for i in range(JOINT)]
-    joint = titled.where("size(names) > 0").select("c", F.explode(F.array(*dated, *worded)).alias("key")).where("key is not null")
-    by_name = joint.select("key", F.col("c").alias("c1")).join(joint.select("key", F.col("c").alias("c2")), "key").where("c1 < c2").select("c1", "c2")
-    side = lambda i: titles.select(F.col("c").alias(f"c{i}"), F.col("t").alias(f"t{i}"), F.col("cut").alias(f"cut{i}"))
-    pairs = near.unionByName(by_name).distinct().join(side(1), "c1").join(side(2), "c2")
-    # the generator keeps the filter above the measure, which is then taken once a pair
-    close = pairs.select("*", F.explode(F.array(title_similarity())).alias("sim")).where(F.col("sim") >= LEAST_TITLE)
-    close = close.select("c1", "c2", F.struct(*title_features()).alias("tf"))
+    lows = titled.where("size(names) > 0").select("c", "y", words.alias("w"), "names").select("c", "y", *[low("w", i).alias(f"w{i}") for i in range(2 * JOINT)], *[low("names", i).alias(f"p{i}") for i in range(JOINT)])
+    dated = [F.when(F.col("y").isNotNull(), F.xxhash64(F.lit(i), "y", f"w{i}", f"p{i}")) for i in range(JOINT)]
+    worded = [F.xxhash64(F.lit(JOINT + i), f"w{i}", f"w{JOINT + i}", f"p{i}") for i in range(JOINT)]
+    joint = lows.select("c", F.explode(F.array(*dated, *worded)).alias("key")).where("key is not null").repartition("key").distinct()
+    by_name = side(joint, 1).join(side(joint, 2), "key").where("c1 < c2").select("c1", "c2").distinct()
+    named = similar(by_name.join(side(titles, 1), "c1").join(side(titles, 2), "c2"))
+    return records_of(near.unionByName(named).dropDuplicates(["c1", "c2"]), titles, titled)
+
+
+def records_of(similar_titles: DataFrame, titles: DataFrame, titled: DataFrame) -> DataFrame:
+    """The pairs of records of similar or equal titles, with the features of the titles and the fields of both records."""
+    side = lambda i: titled.select(*[F.col(c).alias(f"{c}{i}") for c in ("n", "tab", "c", *ATTRS)])
+    close = similar_titles.select("c1", "c2", F.struct(*title_features()).alias("tf"))
     same = titles.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.struct(*[F.lit(float(f in ("title", "title_exact", "title_near"))).cast("float").alias(f) for f in TITLE]).alias("tf"))
-    one = titled.select(F.col("n").alias("n1"), F.col("tab").alias("tab1"), F.col("c").alias("c1"))
-    two = titled.select(F.col("n").alias("n2"), F.col("tab").alias("tab2"), F.col("c").alias("c2"))
-    hit = close.unionByName(same).join(one, "c1").join(two, "c2").where("tab1 != tab2 and (c1 != c2 or n1 < n2)")
-    return hit.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"), "tf")
+    hit = close.unionByName(same).join(side(1), "c1").join(side(2), "c2").where("tab1 != tab2 and (c1 != c2 or n1 < n2)")
+    return hit.withColumnsRenamed({"n1": "a", "n2": "b"})
 
 
 TITLE = ["title", "title_exact", "title_near", "word_swap", "word_extra"]
@@ -172,21 +217,6 @@ RECORD = ["names", "names_hit", "names_none", "year_same", "year_none", "year_fa
 FEATURES = TITLE + RECORD
 
 
-def title_similarity() -> Column:
-    """Edit similarity of two titles t1, t2; 0 below LEAST_TITLE. cut1, cut2: whether one was cut short."""
-    t1, t2 = F.col("t1"), F.col("t2")
-    n = F.least(F.length(t1), F.length(t2))
-    # a title that was cut short is compared with as much of the other
-    short = F.col("cut1") | F.col("cut2")
-    u1, u2 = F.when(short, F.substr(t1, F.lit(1), n)).otherwise(t1), F.when(short, F.substr(t2, F.lit(1), n)).otherwise(t2)
-    longest = F.greatest(F.length(u1), F.length(u2), F.lit(1))
-    # more edits than this leave less than LEAST_TITLE
-    d = F.call_function("levenshtein", u1, u2, F.ceil((1 - LEAST_TITLE) * longest).cast("int"))
-    sim = F.when(d < 0, 0.0).otherwise(1 - d / longest)
-    # what a title lacks at its end does not count against it
-    return F.when((n >= 20) & (F.startswith(t1, t2) | F.startswith(t2, t1)), F.greatest(sim, F.lit(0.9))).otherwise(sim)
-
-
 def title_features() -> list[Column]:
     """Features of two titles t1, t2 of similarity sim."""
     sim = F.col("sim")
@@ -239,6 +269,19 @@ def train(pairs: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
     return (w * a[0]).tolist(), float(b * a[0] + c)
 
 
+def scored(pairs: DataFrame) -> DataFrame:
+    """(a, b, hash1, hash2 and FEATURES) of the pairs that candidates() gives."""
+    feats = [F.col(f"tf.{f}").cast("float").alias(f) for f in TITLE] + [c.cast("float").alias(f) for f, c in zip(RECORD, record_features())]
+    return pairs.select("a", "b", "hash1", "hash2", *feats)
+
+
+def accepted(pairs: DataFrame, w: list[float], b: float, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, confidence) of the scored pairs that the model holds for the same book; those of agreeing hashes are left out."""
+    z = sum((F.col(f) * F.lit(float(k)) for f, k in zip(FEATURES, w)), F.lit(float(b)))
+    other = pairs.where(~F.coalesce(F.col("hash1") == F.col("hash2"), F.lit(False)))
+    return other.select("a", "b", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= threshold)
+
+
 def match(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(rec_a, rec_b, confidence): pairs of records of two catalogues that describe the same book, smaller name first.
 
@@ -248,15 +291,9 @@ def match(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -
     """
     rows = materialize(rows.withColumn("n", F.xxhash64("tab", "t", "cut", "names", "y", "lang", "pub", "vol", "ed", "hash")))
     reps = materialize(rows.drop("rec").dropDuplicates(["n"]))
-    cand = candidates(reps.select("n", "tab", "t", "cut", "names", "y"))
-    attrs = ["n", "names", "grams", "y", "lang", "pub", "vol", "ed", "hash"]
-    side = lambda i, k: reps.select(*[F.col(c).alias(k if c == "n" else f"{c}{i}") for c in attrs])
-    pairs = cand.join(side(1, "a"), "a").join(side(2, "b"), "b")
-    feats = [F.col(f"tf.{f}").cast("float").alias(f) for f in TITLE] + [c.cast("float").alias(f) for f, c in zip(RECORD, record_features())]
-    scored = materialize(pairs.select("a", "b", "hash1", "hash2", *feats))
-    w, b = train(scored, sample)
-    z = sum((F.col(f) * F.lit(float(k)) for f, k in zip(FEATURES, w)), F.lit(float(b)))
-    hit = scored.where(~F.coalesce(F.col("hash1") == F.col("hash2"), F.lit(False))).select("a", "b", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= threshold)
+    pairs = candidates(reps)
+    pairs = materialize(scored(pairs))
+    hit = accepted(pairs, *train(pairs, sample), threshold)
     mem = rows.select("n", "rec")
     out = hit.join(mem.select(F.col("n").alias("a"), F.col("rec").alias("ra")), "a").join(mem.select(F.col("n").alias("b"), F.col("rec").alias("rb")), "b")
     return out.select(F.least("ra", "rb").alias("rec_a"), F.greatest("ra", "rb").alias("rec_b"), F.round("confidence", 6).alias("confidence"))

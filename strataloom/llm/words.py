@@ -40,7 +40,7 @@ def plain(text: Column) -> Column:
     s = F.when(text.contains("<"), F.regexp_replace(text, r"</?[A-Za-z][^<>\n]{0,200}>", " ")).otherwise(text)
     s = F.when(s.contains("&"), F.regexp_replace(s, r"&(?:[a-zA-Z]{2,8}|#\d{1,6});", " ")).otherwise(s)
     s = F.lower(s)
-    odd = s.rlike(r"[^\x00-\x7f]")
+    odd = F.octet_length(s) != F.length(s)
     t = F.translate(s, _FROM + INVISIBLE, _TO)
     t = F.replace(F.replace(F.replace(t, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")), F.lit("ﬀ"), F.lit("ff"))
     t = F.regexp_replace(t, r"\p{M}", "")
