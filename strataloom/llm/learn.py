@@ -26,7 +26,7 @@ class Boosted:
         self.rounds, self.depth, self.rate, self.bins, self.l2 = rounds, depth, rate, bins, l2
         self.edges: list[np.ndarray] = []
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.base, self.a, self.b = 0.0, 1.0, 0.0
+        self.base, self.a, self.b, self.threshold = 0.0, 1.0, 0.0, 0.5
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1) if len(x) else np.zeros((0, len(self.edges)), int)
@@ -48,6 +48,7 @@ class Boosted:
         if len(yh) > 20 and 0 < yh.mean() < 1:
             self.a, self.b = logistic(z[:, None], yh, l2=1e-3)
             self.a = float(self.a[0])
+            self.threshold = best_threshold(sigmoid(self.a * z + self.b), yh)
         return self
 
     def _grow(self, xb: np.ndarray, g: np.ndarray, h: np.ndarray):
@@ -96,6 +97,13 @@ class Boosted:
         return sigmoid(self.a * self.raw(x) + self.b)
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The calibrated probability from which F1 is highest, within 0.2 and 0.8; of equal ones the nearest to 0.5."""
+    grid = sorted(np.arange(0.2, 0.801, 0.05), key=lambda t: abs(t - 0.5))
+    f1 = [2 * y[p >= t].sum() / max((p >= t).sum() + y.sum(), 1) for t in grid]
+    return float(grid[int(np.argmax(f1))])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept by Newton's method."""
     xa = np.hstack([x, np.ones((len(x), 1))])

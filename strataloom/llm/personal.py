@@ -4,12 +4,13 @@
 2. How often each word stands where only a name can stand is counted over all texts.
 3. Trees for each type are trained on a bounded sample of candidates labelled by wording around them ("Contact:",
    "serial number"). Half of the training rows hide that wording, so form and counts must carry the decision.
-4. Candidates of calibrated probability above the threshold stay; of overlapping ones the longer, then the likelier.
+4. Candidates of calibrated probability above the threshold of their type stay; of overlapping ones the likelier.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +19,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_broadcast, materialize
-from .learn import Boosted, bounded_sample
+from .learn import Boosted
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 #: Labelled candidates of a type that its trees see at most.
 SAMPLE = 20_000
-THRESHOLD = 0.5
+#: Parts of a hash by which the sample is drawn.
+GRAIN = 1_000_003
 #: Words with counts that are broadcast at most; beyond it they are joined by shuffle.
 MAX_WORDS = 100_000
 
-_U, _L = "A-ZÀ-ÖØ-ÞŁŠŽ", "a-zà-öø-ÿłšž"
+
+
+def _letters(category: str) -> str:
+    """The letters of a Unicode category in the scripts that have case (Latin, Greek, Cyrillic, Armenian), as a class."""
+    cps = [c for a, b in ((0x41, 0x588), (0x1E00, 0x2000)) for c in range(a, b) if unicodedata.category(chr(c)) == category]
+    runs = [[cps[0], cps[0]]]
+    for c in cps[1:]:
+        if c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+# combining marks stand inside words that are not in composed form
+_U, _L = _letters("Lu"), _letters("Ll") + "\u0300-\u036f"
+_HAN = "\u4e00-\u9fff"
 _W = rf"[{_U}][{_L}'’]+(?:-[{_U}]?[{_L}]+)*"
 _C = rf"[{_U}]{{2,}}(?:-[{_U}]{{2,}})*"
 _I = rf"[{_U}]\."
@@ -48,15 +66,15 @@ GENERATORS = {
         rf"|\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|impasse|boulevard|place|chemin|allée|quai|route|Rue|Avenue|RUE|AVENUE|IMPASSE) (?:de (?:la |l'|l’)?|du |des )?{_N}{_FLOOR},? {_POST} {_TOWN}"
         rf"|(?:[{_U}][{_L}-]*(?:straße|strasse|str\.|allee|weg|platz|gasse|ufer|ring|damm)|[{_U}]+(?:STRASSE|STR\.|ALLEE|WEG|PLATZ|GASSE)|{_W} (?:Straße|Allee|Weg|Platz|Gasse|Str\.)) \d+ ?[a-z]?\b{_FLOOR},? {_POST} {_TOWN})"
     ),
-    "person": re.compile(rf"(?<![\w@.'’-])(?:(?:{_W}|{_I})(?: (?:{_W}|{_I})){{0,2}} {_W}|{_W}, (?:{_W}|{_I})(?: (?:{_W}|{_I}))?|(?:{_C}|{_I})(?: (?:{_C}|{_I})){{0,2}} {_C}|{_C}, (?:{_C}|{_I})(?: (?:{_C}|{_I}))?)(?![\w@'’])"),
+    "person": re.compile(rf"(?<![\w@.'’-])(?:(?:{_W}|{_I})(?: (?:{_W}|{_I})){{0,2}} {_W}|{_W}, (?:{_W}|{_I})(?: (?:{_W}|{_I}))?|(?:{_C}|{_I})(?: (?:{_C}|{_I})){{0,2}} {_C}|{_C}, (?:{_C}|{_I})(?: (?:{_C}|{_I}))?)(?![\w@'’])|(?<![{_HAN}])[{_HAN}]{{2,4}}(?![{_HAN}])"),
 }
-# Wording before a value that tells what it is, or that it is no personal value.
+# Common labels before a value that tell what it is, or that it is no personal value.
 CUES = {
-    "email": (r"(?:contact\w*|mail\w*|write to|by[^\n]{0,40}|écrivez à|escriba a|schreiben sie an|mail=|mailto:|ansprechpartner|contacto)[^\n]{0,60}$", r"(?:clone|install|pip|run make|ssh|scp|git|pkg)\b[^\n]{0,30}$"),
-    "phone": (r"(?:\btel\b|phone|call(?: me)?(?: on)?|reach (?:me|us) (?:on|under)|(?<!security )(?<!serial )number|fax|mobile|unter|au|al|appelez|llame a?|téléphone|telefon|teléfono)\W{0,5}$|\"tel\": \"$", r"(?:serial number|key|code|isbn|address|logged at|firmware|port|holdings:?|figure|version|order|part|ref\w*|security number|badge\": \"|ID|document\w*|documento|ausweisnummer|numéro)\W{0,3}$"),
-    "id_number": (r"(?:security number|passport\w*|badge\": \"|\bID|payroll reference|numéro|documento|ausweisnummer|identity \w+|national \w+|tax \w+|NIF|DNI|NIE|n\.?i\.?r\.?)\W{0,3}$", r"(?:serial number|key|code|isbn|address|logged at|firmware|port|holdings:?|order|part|\btel\b\W*|phone|call|on|under|unter|au|al|my number)\W{0,3}$"),
-    "address": (r"(?:to|vers|an|envió a|post:|or|ou à|oder an|o a|home=|\n|, )\s*$", r"(?:label of|see|section)\s*$"),
-    "person": (r"(?:contact ?:|contacto:|ansprechpartner:|signed-off-by:|reported-by:|co-authored-by:|\"owner\": \"|\bname=|my name is|name is|signed by(?: dr\.?)?|questions go to|returned to|(?:^|\n)-- \n|that day shows|appelez|llame a|fragen beantwortet|gehört zu|pertenece a|le nom de)\s*$", r"(?:on the|of the|the|in|der|die|das|des|la|le|el|label of|serial|bus|set|load)\s*$"),
+    "email": (r"(?:\b(?:contact\w*|e-?mail\w*|mail|write to|reach|kontakt|schreib\w*|écri\w+|contacto|escrib\w+|correo)\b|mailto:|\bmail=)[^\n]{0,60}$", r"\b(?:clone|install|pip|make|ssh|scp|rsync|git|pkg|host|server)\b[^\n]{0,30}$"),
+    "phone": (r"(?:\b(?:tel|phone|telephone|mobile|cell|fax|téléphone|portable|telefon|handy|teléfono|móvil|(?<!serial )(?<!part )(?<!order )(?<!security )number)\b|\b(?:call|dial|reach|ring|appel\w+|anruf\w*|rufen|llam\w+)(?: \w+)?(?: on| at| under| au| unter| al| a)?|\b(?:call|appel\w+|anruf\w*|llam\w+) [^\n.:;]{3,60} (?:on|at|au|unter|al))[^\w\n]{0,5}$", r"\b(?:serial(?: number)?|key|code|isbn|issn|doi|address|port|firmware|figure|table|section|version|order|part|ref\w*|invoice|account|id|id number|security number|passport\w*|document\w*|ausweis\w*|numéro)\W{0,3}$"),
+    "id_number": (r"\b(?:security number|passport\w*|pass(?: |-)?(?:nummer|nr)|id|id number|identity \w+|national \w+|tax \w+|licen[cs]e\w*|ssn|nino|nif|dni|nie|nir|iban|badge|payroll \w+|documento|document|ausweis\w*|numéro|matricule)\W{0,4}$", r"\b(?:serial(?: number)?|key|code|isbn|issn|doi|address|port|firmware|order|part|version|tel|phone|call|dial|fax|mobile)\W{0,3}$"),
+    "address": (r"(?:\b(?:to|at|address|post|mail|home|live\w*|vers|à|adresse|chez|an|in|a|en|dirección|domicilio)|[:=,\n])\s*$", r"\b(?:see|section|figure|table|step)\s*$"),
+    "person": (r"(?:\b(?:contact|contacto|kontakt|ansprechpartner(?:in)?|author|owner|maintainer|name|by|from|attn|signed|nombre|nom|autor|auteur)\b\W{1,4}|\w-by: |\bname(?: is|=)\s?|\b(?:signed|written|reported|approved|reviewed) by (?:\w+\. )?|\b(?:Dr|Prof|Mr|Mrs|Ms|Herrn?|Frau|Mme|Sra?|Don|Doña)\b\.? |(?:^|\n)-- ?\n)$", r"\b(?:on the|of the|the|in|der|die|das|des|la|le|el|serial|bus|set|load|see|section)\s*$"),
 }
 _POS = {t: re.compile(p, re.I) for t, (p, _) in CUES.items()}
 _NEG = {t: re.compile(n, re.I) for t, (_, n) in CUES.items()}
@@ -77,7 +95,7 @@ def _shape_ok(t: str, s: str) -> bool:
         return "@" not in s or bool(re.search(r"@[^@]*[A-Za-z]", s))
     if t == "person":
         first = re.split(r"[ ,]", s)[0]
-        return first not in _OPENERS and not first.rstrip(".") in _OPENERS and len(s) <= 60
+        return first not in _OPENERS and not first.rstrip(".") in _OPENERS
     return True
 
 
@@ -95,7 +113,7 @@ def propose(text: str) -> list[tuple]:
                 while (w := _TITLE.match(s)) or (s.split(" ")[0].rstrip(",") in _OPENERS and " " in s):
                     cut = w.end() if w else len(s.split(" ")[0]) + 1
                     s, a = s[cut:], a + cut
-                if not re.search(r"[ ,]", s) or not rx.fullmatch(s):
+                if s[0] < "\u4e00" and not re.search(r"[ ,]", s) or not rx.fullmatch(s):
                     at = max(a, m.start() + 1) if s != m.group() and a < m.end() else m.end()
                     continue
             if t == "phone":
@@ -113,8 +131,11 @@ def propose(text: str) -> list[tuple]:
     for t, a, b, s in out:
         before, after = text[max(0, a - 80) : a], text[b : b + 30]
         pos, neg = bool(_POS[t].search(before)), bool(_NEG[t].search(before))
-        if t == "person" and re.match(r" (?:noted in|anmerkte)|, (?:la panne|el fallo)| *<[^>\s]+", after):
+        # what stands after a value may label it, and a number may prove itself
+        if t == "person" and re.match(r" *<[^>\s]+@| ?\((?:tel|mail|e-?mail)|[,;] ?(?:tel|mail|e-?mail|ID)\b| (?:said|says|noted|wrote|writes|reported|explained|added|argued|sagte|schrieb|erklärte|meinte|bemerkte|dit|écrit|explique|dijo|escribió|explicó)\b", after):
             pos = True
+        if t == "phone" and re.match(r"\+[1-9]", s) or t == "id_number" and proven(s):
+            pos, neg = True, False
         if t == "email":
             pos = pos or before.endswith(("<", "mailto:"))
             neg = neg or not re.search(r"(?:\.|dot|punto)[^\w]*[A-Za-z]{2,}$", s) or bool(re.match(r":\S|[:~]", after)) or bool(re.match(r"(?:git|node|pkg|no-?reply|ci|bot|build|root|admin|ftp|svn)\W", s, re.I))
@@ -130,12 +151,22 @@ def propose(text: str) -> list[tuple]:
     return rows
 
 
-def _label(t: str, pos: bool, neg: bool) -> int:
-    return 1 if pos and not neg else 0 if neg and not pos else -1
+def proven(s: str) -> bool:
+    """Whether the check digits of an account, identity or tax number agree (IBAN, NIR, DNI, NIE)."""
+    v = re.sub(r"[^0-9A-Z]", "", s.upper())
+    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", v):
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    if re.fullmatch(r"[12]\d{14}", v):
+        return 97 - int(v[:13]) % 97 == int(v[13:])
+    if m := re.fullmatch(r"([XYZ]?)(\d{7,8})([A-Z])", v):
+        return len(m[1]) + len(m[2]) == 8 and "TRWAGMYFPDXBNJZSQVHLCKE"[int(str("XYZ".find(m[1])) * (m[1] != "") + m[2]) % 23] == m[3]
+    return False
 
 
 def name_parts(s: str) -> tuple[str, str]:
     """Given and family name as counted: lower case, without initials."""
+    if s and s[0] >= "\u4e00" and s[0] <= "\u9fff":
+        return s[1:], s[:1]
     if "," in s:
         fam, given = s.split(",", 1)
         given = given.split()[0] if given.split() else ""
@@ -179,7 +210,10 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     count = lambda c: people.where(F.col(c) != "").groupBy(c).agg(F.sum(strong).alias("s"), F.count("*").alias("n")).where("s > 0")
     g = count("given").select("given", F.col("s").alias("gs"), F.col("n").alias("gn"))
     fam = count("family").select("family", F.col("s").alias("ls"), F.col("n").alias("ln"))
-    return raw.join(bounded_broadcast(g, MAX_WORDS), "given", "left").join(bounded_broadcast(fam, MAX_WORDS), "family", "left")
+    # only names are joined: other types have no words, and would all meet in one key
+    named = people.join(bounded_broadcast(g, MAX_WORDS), "given", "left").join(bounded_broadcast(fam, MAX_WORDS), "family", "left")
+    rest = raw.where("pii_type != 'person'").select("*", *[F.lit(None).cast("long").alias(c) for c in ("gs", "gn", "ls", "ln")])
+    return materialize(named.unionByName(rest))
 
 
 def train(cand: DataFrame, sample: int = SAMPLE) -> dict[str, Boosted]:
@@ -187,48 +221,54 @@ def train(cand: DataFrame, sample: int = SAMPLE) -> dict[str, Boosted]:
     label = F.when(F.col("pos") & ~F.col("neg"), 1).when(F.col("neg") & ~F.col("pos"), 0)
     # a capitalised pair that never stands where a name must, in words seen often, is no name
     unnamed = (F.col("pii_type") == "person") & ~F.col("pos") & F.col("gs").isNull() & F.col("ls").isNull()
-    rows = cand.withColumn("y", F.when(unnamed, 0).otherwise(label)).where(F.col("y").isNotNull()).withColumn("h", F.xxhash64("k", "start", "pii_type"))
+    rows = cand.withColumn("y", F.when(unnamed, 0).otherwise(label)).where(F.col("y").isNotNull()).withColumn("h", F.pmod(F.xxhash64("k", "start", "pii_type"), F.lit(GRAIN)))
+    have = {r["pii_type"]: r["n"] for r in rows.groupBy("pii_type").agg(F.count("*").alias("n")).collect()}
+    # one pass for all types; the executors thin the rows out before any is sent on
+    share = F.create_map(*[F.lit(x) for t in TYPES for x in (t, int(GRAIN * min(1.0, 1.1 * sample / max(have.get(t, 0), 1) + 1e-4)))])
+    drawn = rows.where(F.col("h") <= F.element_at(share, F.col("pii_type"))).toPandas().sort_values(["h", "k", "start"])
     models = {}
     for t in TYPES:
-        b = bounded_sample(rows.where(F.col("pii_type") == t), "h", sample)
+        b = drawn[drawn["pii_type"] == t].head(sample)
         if len(b) >= 20 and 0 < b["y"].mean() < 1:
             models[t] = Boosted().fit(_matrix(b, True), b["y"].to_numpy(float))
     return models
 
 
 def keep_spans(rows: list[tuple[int, int, str, str, float]]) -> list[tuple[int, int, str, str, float]]:
-    """Of overlapping spans the longer, then the likelier, then the earlier."""
+    """Of overlapping spans the likelier (to a tenth), then the longer, then the earlier."""
     out: list[tuple[int, int, str, str, float]] = []
-    for r in sorted(rows, key=lambda r: (r[0] - r[1], -r[4], r[0], r[2])):
+    for r in sorted(rows, key=lambda r: (-round(r[4], 1), r[0] - r[1], -r[4], r[0], r[2])):
         if all(r[1] <= o[0] or o[1] <= r[0] for o in out):
             out.append(r)
     return sorted(out)
 
 
-def _scored(cand: DataFrame, models: dict[str, Boosted], threshold: float) -> DataFrame:
+def _scored(cand: DataFrame, models: dict[str, Boosted]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = np.where(b["pos"].to_numpy(bool) & ~b["neg"].to_numpy(bool), 0.9, np.where(b["neg"].to_numpy(bool), 0.1, 0.3))
+            # a type of which too few could be labelled goes by form, unless wording speaks against it
+            p = np.where(b["neg"].to_numpy(bool) & ~b["pos"].to_numpy(bool), 0.1, 0.9)
+            least = np.full(len(b), 0.5)
             for t, m in models.items():
                 at = np.flatnonzero((b["pii_type"] == t).to_numpy())
                 if len(at):
                     p[at] = m.prob(_matrix(b.iloc[at], False))
-            # wording that speaks against a type halves it: of equal spans the other type then stays
-            p = np.where(b["neg"].to_numpy(bool) & ~b["pos"].to_numpy(bool), p / 2, p)
+                    least[at] = m.threshold
             got = b.assign(p=p)[["k", "start", "stop", "pii_type", "surface", "p"]]
-            yield got[got["p"] >= threshold]
+            yield got[p >= least]
 
     return cand.mapInPandas(run, "k long, start int, stop int, pii_type string, surface string, p double")
 
 
-def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(key, spans): for each text with personal values its spans (start, stop, pii_type, surface, p), none overlapping.
 
-    Positions count characters. Null and empty texts have none; where too few candidates can be labelled to train a type,
-    wording alone decides; an empty table gives an empty result; other columns are never read.
+    Positions count characters. Each type has the threshold that was best on labelled candidates its trees had not seen.
+    Null and empty texts have no spans; where too few candidates can be labelled to train a type, form decides unless
+    wording speaks against it; an empty table gives an empty result; other columns are never read.
     """
     cand = candidates(docs, key, text)
-    scored = _scored(cand, train(cand, sample), threshold)
+    scored = _scored(cand, train(cand, sample))
     best = F.udf(lambda s: keep_spans([tuple(x) for x in s]), "array<struct<start:int,stop:int,pii_type:string,surface:string,p:double>>", useArrow=True)
     return scored.groupBy("k").agg(F.collect_list(F.struct("start", "stop", "pii_type", "surface", "p")).alias("s")).select(F.col("k").alias(key), best("s").alias("spans"))
 

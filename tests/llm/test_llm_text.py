@@ -122,7 +122,9 @@ def test_personal(spark):
 
 def test_spans_do_not_overlap():
     rows = [(0, 10, "a", "x", 0.9), (5, 8, "b", "y", 0.99), (10, 12, "c", "z", 0.6), (10, 12, "d", "z", 0.7)]
-    assert P.keep_spans(rows) == [(0, 10, "a", "x", 0.9), (10, 12, "d", "z", 0.7)]
+    assert P.keep_spans(rows) == [(5, 8, "b", "y", 0.99), (10, 12, "d", "z", 0.7)]
+    # of about equal ones the longer
+    assert P.keep_spans([(0, 10, "a", "x", 0.9), (5, 8, "b", "y", 0.94)]) == [(0, 10, "a", "x", 0.9)]
 
 
 def book_tables(spark, n=160):
