@@ -49,7 +49,7 @@ def test_wording_never_seen(spark):
         if i % 3 == 0:
             rows.append((i, f"All parts passed. Contact: {n}. We replaced the {thing} twice."))
         elif i % 3 == 1:
-            rows.append((i, f"Yesterday {n} inspected everything again, and nobody objected."))
+            rows.append((i, f"It was late when {n} had inspected everything again, and nobody objected."))
             want.add((i, n))
         else:
             rows.append((i, f"Every {thing} drifts a little, which the {thing} log confirms."))
