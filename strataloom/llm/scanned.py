@@ -27,6 +27,8 @@ PAGE_WIDTH, RUN_ON = 100, 2
 RATIO, LEAST = 20, 4
 #: The same for words of up to three letters, which are often words of another language.
 RATIO_SHORT = 400
+#: Letters of a word at most; longer runs of letters are no words.
+LONGEST = 60
 # Letters and what scanners read in their place.
 CONFUSIONS = [
     ("m", "rn"), ("rn", "m"), ("w", "vv"), ("d", "cl"), ("cl", "d"), ("h", "li"), ("li", "h"), ("b", "li"), ("n", "ii"), ("n", "ri"), ("ri", "n"),
@@ -42,6 +44,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _CODE = re.compile(r"[A-Z]\d+[A-Z]?|\d+(?:[.,]\d+)*|[A-Z]{2,}\d*")
 _NUM = r"(?:[0-9lIOoSs](?:\s?[0-9lIOoSs]){0,3}|[ivxlc]{1,7}|[IVXLC]{1,7})"
 _PAGE = re.compile(rf"^[\W_]*(?:(?:page|pages|p|pp|pag|pág|página|seite|s|folio)\b\.?)?[\W_]*({_NUM})[\W_]*(?:(?:of|de|von|sur|/)\s*[0-9lO]{{1,4}})?[\W_]*$", re.I)
+_SAID = re.compile(r"^[\W_]*(?:page|pages|p|pp|pag|pág|página|seite|s|folio)\b|^[-–—]\s*\w+\s*[-–—]$", re.I)
+_ROMAN = re.compile(r"(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
+_DIGITS = str.maketrans("lIOoSs", "110055")
+#: Lines of a page at least and at most, and pages that a sequence of numbers may miss in a row, the next one included.
+PAGE_LINES, MISSED = (4, 90), 9
 _HEAD_NUM = re.compile(rf"^(?:[\W_]*(?:p\.|page)?\s*({_NUM})(?:[\W_]*\s{{2,}}|\s*[|·•–—]\s*)(.+)|(.+?)(?:\s{{2,}}[\W_]*|\s*[|·•–—]\s*)(?:p\.|page)?\s*({_NUM})[\W_]*)$", re.I)
 
 
@@ -79,25 +86,69 @@ def _like(a: str, b: str) -> bool:
     if a == b:
         return True
     n = min(len(a), len(b))
-    if n >= 8 and a[:n] == b[:n]:
+    # a head may be cut short, but to no less than a third
+    if n >= 8 and 3 * n >= max(len(a), len(b)) and _ratio(a[:n], b[:n]):
         return True
-    return n >= 8 and _ratio(a[:n], b[:n]) or _ratio(a, b)
+    return _ratio(a, b)
+
+
+def page_value(text: str) -> int:
+    """The number that a page mark shows, misread digits and canonical Roman numerals included; 0 for none."""
+    t = re.sub(r"\s", "", text)
+    if re.search(r"\d", t) or not (t.islower() or t.isupper()) or not _ROMAN.fullmatch(t.lower()):
+        t = t.translate(_DIGITS)
+        return int(t) if t.isdecimal() else 0
+    v = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c] for c in t.lower()]
+    return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
+
+
+def sequence(marks: list[tuple[int, int]]) -> set[int]:
+    """Lines of the longest run of page numbers: each is so much higher than the one before as pages lie between them.
+
+    marks: (line, number) in the order of lines. One mark alone is no sequence.
+    """
+    last: dict[int, int] = {}
+    length, before = [1] * len(marks), [-1] * len(marks)
+    for n, (i, v) in enumerate(marks):
+        for d in range(1, MISSED + 1):
+            j = last.get(v - d, -1)
+            if j >= 0 and PAGE_LINES[0] * d <= i - marks[j][0] <= PAGE_LINES[1] * d and length[j] >= length[n]:
+                length[n], before[n] = length[j] + 1, j
+        last[v] = n
+    at = max(range(len(marks)), key=length.__getitem__, default=-1)
+    # two marks prove little, unless they are of pages that follow each other
+    if at < 0 or length[at] < 2 or length[at] == 2 and marks[at][1] - marks[before[at]][1] > 1:
+        return set()
+    out = set()
+    while at >= 0:
+        out.add(marks[at][0])
+        at = before[at]
+    return out
 
 
 def furniture(lines: list[str], title: str) -> set[int]:
     """Numbers of the lines that are running heads, feet or page numbers."""
     t = _bare(title or "")
-    number = {i for i, s in enumerate(lines) if s.strip() and len(s) < 40 and (m := _PAGE.match(s.strip())) and (re.search(r"\d", s) or re.search(r"[ivxlcIVXLC]", m.group(1)) and m.group(1).lower() == m.group(1))}
-    out = set(number)
+    marks: list[tuple[int, int]] = []
+    number, plain_mark = set(), set()
     heads: list[tuple[int, str, bool]] = []
     for i, s in enumerate(lines):
         u = s.strip()
-        if i in number or not 6 <= len(u) <= PAGE_WIDTH:
+        m = _PAGE.match(u) if u and len(s) < 40 else None
+        if m and (v := page_value(m.group(1))):
+            number.add(i)
+            marks.append((i, v))
+            if not _SAID.match(u):
+                plain_mark.add(i)
+            continue
+        if not 6 <= len(u) <= PAGE_WIDTH:
             continue
         m = _HEAD_NUM.match(u)
-        has = bool(m)
-        text = _bare((m.group(2) or m.group(3)) if m else u)
-        heads.append((i, text, has))
+        if m and (v := page_value(m.group(1) or m.group(4))):
+            marks.append((i, v))
+        heads.append((i, _bare((m.group(2) or m.group(3)) if m else u), bool(m)))
+    paged = sequence(marks)
+    out = {i for i in number if i in paged or i not in plain_mark}
 
     def of_title(text: str) -> bool:
         if _like(text, t):
@@ -129,7 +180,9 @@ def furniture(lines: list[str], title: str) -> set[int]:
         alone = not (i > 0 and lines[i - 1].strip() or i + 1 < len(lines) and lines[i + 1].strip())
         if not alone and any(abs(len(text) - len(k)) < 4 and _like(text, k) for k in known):
             out.add(i)
-    return out
+    # a number that continues no sequence is a page number only beside a running head
+    found = {i for i, *_ in heads if i in out}
+    return out | {i for i in number if i - 1 in found or i + 1 in found}
 
 
 def token(w: str) -> str:
@@ -185,8 +238,6 @@ def candidates(w: str) -> list[str]:
                         nxt.append(c)
                     at = s.find(wrong, at + 1)
         ring = nxt
-        if len(seen) > 400:
-            break
     seen.discard(w)
     return sorted(seen)
 
@@ -198,7 +249,7 @@ def vocabulary(df: DataFrame, body: str) -> DataFrame:
     """(word, n): in how many texts a word occurs, lower case, compounds with their hyphens; words of one text left out."""
     # blanks and punctuation split; the words of a text are made distinct before they leave it
     s = F.translate(F.lower(F.col(body)), _SPLIT, " " * len(_SPLIT))
-    return df.select(F.explode(F.array_distinct(F.split(s, " +"))).alias("word")).where(F.length("word").between(2, 60) & F.col("word").rlike(r"^\p{L}[\p{L}'’-]*\p{L}$")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return df.select(F.explode(F.array_distinct(F.split(s, " +"))).alias("word")).where(F.length("word").between(2, LONGEST) & F.col("word").rlike(r"^\p{L}[\p{L}'’-]*\p{L}$")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _best_readings(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -210,7 +261,10 @@ def _best_readings(words: DataFrame, vocab: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["w", "c", "n"])
 
     types = words.distinct().join(vocab.withColumnRenamed("word", "w"), "w", "left").select("w", F.coalesce("n", F.lit(1)).alias("n"))
-    pairs = types.where(F.length("w").between(2, 40)).mapInPandas(run, "w string, c string, n long")
+    # spread over the tasks by hash: reading a word is work, however few bytes it has; no confusion alters a length by more
+    # than two, so longer words have no reading among the words counted
+    width = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = types.where(F.length("w").between(2, LONGEST + 4)).repartition(width, "w").mapInPandas(run, "w string, c string, n long")
     hit = pairs.join(vocab.select(F.col("word").alias("c"), F.col("n").alias("cn")), "c").where((F.col("cn") >= LEAST) & (F.col("cn") >= F.col("n") * F.when(F.length("w") <= 3, RATIO_SHORT).otherwise(RATIO)))
     # of several, the one with fewer signs changed counts first through its frequency; ties fall to the smaller word
     return hit.groupBy("w").agg(F.max_by("c", F.struct("cn", "c")).alias("right"))
