@@ -20,6 +20,8 @@ ALONE = 100.0
 
 _PEOPLE_SEP = re.compile(r"\s*(?:(?P<strong>[;|\t\n\r]+(?:\s*[;|\t\n\r]+)*|\s/\s|/)|(?P<comma>,(?:\s*,)*)|(?P<conj>\s(?:and|und|et|y)\s|\s?&\s?))\s*")
 _CODE_SEP = re.compile(r"\s*(?:(?P<strong>[;|\t\n\r/]+(?:\s*[;|\t\n\r/]+)*)|(?P<comma>,(?:\s*,)*))\s*|(?P<conj>\s+)")
+#: What any field of two values holds, in the JVM's syntax: a separator of either kind of value.
+SEPARATED = r"[;|,/&\s\u0085\p{Z}\[]"
 _WORD = re.compile(r"\([^)]*\)|\[[^\]]*\]|[^\W\d_](?:\.-?[^\W\d_])*\.(?=\s|,|$)|[\w'’.\-]+|[^\w\s]")
 _SMALL = {"of", "for", "the", "and", "und", "et", "y", "de", "des", "du", "für", "del", "la"}
 _FIRM = {"ltd", "inc", "gmbh", "co", "llc", "corp", "plc", "sons", "group"}
@@ -135,15 +137,24 @@ def code_book(counts: dict[str, int]) -> dict[str, float]:
     return {s: -math.log2(n / total) for s, n in counts.items()}
 
 
-def parse(text: str | None, kind: str, book: dict[str, float]) -> list[str]:
-    """Values of the cheapest dialect, in order. Null, empty and separator-only fields give an empty list."""
+def most_pieces(book: dict[str, float]) -> int:
+    """Pieces between separators that a value may consist of: as many as any value of the corpus, and twelve at least."""
+    return max(12, *(1 + len(re.findall(r"[,&o;/|¶]", s)) for s in book), 0)
+
+
+def parse(text: str | None, kind: str, book: dict[str, float], memo: dict[str, float] | None = None, pieces_at_most: int | None = None) -> list[str]:
+    """Values of the cheapest dialect, in order. Null, empty and separator-only fields give an empty list.
+
+    memo keeps the code lengths of values from call to call; pieces_at_most: as most_pieces() of the book.
+    """
     text = (text or "").strip()
     if not text:
         return []
     if (got := as_list(text)) is not None:
         return got
     shape, sep = SHAPES[kind]
-    memo: dict[str, float] = {}
+    memo = {} if memo is None else memo
+    span = pieces_at_most or most_pieces(book)
 
     def bits(v: str) -> float:
         if v not in memo:
@@ -167,7 +178,7 @@ def parse(text: str | None, kind: str, book: dict[str, float]) -> list[str]:
                 atoms[-1].append((p, raw if k and k != "strong" or k and "strong" not in cut else "", k))  # type: ignore[arg-type]
             values, cost = [], 2.0 * len(cut) + (1.0 if quoted else 0.0)
             for chunk in atoms:
-                c, vs = _segment(chunk, cut, bits)
+                c, vs = _segment(chunk, cut, bits, span)
                 cost += c
                 values += vs
             if values and (best is None or cost < best[0] - 1e-9):
@@ -175,19 +186,19 @@ def parse(text: str | None, kind: str, book: dict[str, float]) -> list[str]:
     return best[1] if best else []
 
 
-def _segment(chunk: list, cut: set[str], bits) -> tuple[float, list[str]]:
+def _segment(chunk: list, cut: set[str], bits, span: int) -> tuple[float, list[str]]:
     n = len(chunk)
     cost: list[float] = [0.0] + [math.inf] * n
     back = [0] * (n + 1)
     for j in range(1, n + 1):
-        for i in range(max(0, j - 12), j):
+        for i in range(max(0, j - span), j):
             if cost[i] == math.inf or i and chunk[i][2] not in cut:
                 continue
             v = _unquote(chunk[i][0] + "".join(r + p for p, r, _ in chunk[i + 1 : j]))
             c = cost[i] + (bits(v) if v else 0.0)
             if c < cost[j] - 1e-9:
                 cost[j], back[j] = c, i
-    if cost[n] == math.inf:  # more than twelve pieces that nothing may separate
+    if cost[n] == math.inf:  # more pieces than a value has, which nothing may separate
         v = _unquote(chunk[0][0] + "".join(r + p for p, r, _ in chunk[1:]))
         return bits(v), [v] if v else []
     out, j = [], n

@@ -207,13 +207,13 @@ def _checked(q: Column, n: Column, home: Column, ambiguous: str, nonexistent: st
 def _instant(q: Column, ntz: Column, home: Column, ambiguous: str, nonexistent: str) -> Column:
     z = q["zone"]
     bare = F.regexp_replace(z, r"[\[\]()]", "")
-    named = F.when(bare.contains("/"), F.array_join(F.transform(F.split(bare, "/"), lambda w: F.array_join(F.transform(F.split(w, "_"), lambda x: F.initcap(x)), "_")), "/"))
+    named = F.when(bare.contains("/"), F.try_element_at(F.create_map(*[F.lit(x) for z in KNOWN_ZONES for x in (z.lower(), z)]), bare))
 
     def placed(k: Column) -> Column:
         utc = (
             F.when(z.isNull(), local_to_utc(ntz, home, ambiguous, nonexistent))
             .when(k["minutes"].isNotNull(), ntz - F.make_dt_interval(mins=k["minutes"]))
-            .when(k["named"].isin(*KNOWN_ZONES), local_to_utc(ntz, F.coalesce(k["named"], F.lit("UTC")), ambiguous, nonexistent))
+            .when(k["named"].isNotNull(), local_to_utc(ntz, F.coalesce(k["named"], F.lit("UTC")), ambiguous, nonexistent))
         )
         return _bind(utc.cast("string"), lambda text: F.concat(F.substr(text, F.lit(1), F.lit(10)), F.lit("T"), F.substr(text, F.lit(12), F.lit(8)), F.lit("."), micros, F.lit("Z")))
 
@@ -224,8 +224,7 @@ def _instant(q: Column, ntz: Column, home: Column, ambiguous: str, nonexistent:
 def _known_zones() -> list[str]:
     import zoneinfo
 
-    # as initcap writes them, since matching is on lower case
-    return sorted({"/".join("_".join(x.capitalize() for x in w.split("_")) for w in z.split("/")) for z in zoneinfo.available_timezones() if "/" in z and not z.startswith("Etc/")} & zoneinfo.available_timezones())
+    return sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith("Etc/"))
 
 
 KNOWN_ZONES = _known_zones()

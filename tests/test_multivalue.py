@@ -81,3 +81,20 @@ def test_code_book_holds_every_shape(spark):
     df = spark.createDataFrame([(i, f"Ada {c};Bea Holt") for i, c in enumerate(signs)], "k long, people string")
     book = code_book(df, {"people": "people"})["people"]
     assert len({mv.person_shape(f"Ada {c}") for c in signs}) == 1100 and all(mv.person_shape(f"Ada {c}") in book for c in signs)
+
+
+def test_values_of_many_pieces():
+    """A value may have as many pieces as any of the corpus, not twelve only."""
+    firm = "A, B, C, D, E, F, G, H, I, J, K, L, M and N Ltd"
+    shape = mv.person_shape(firm)
+    assert mv.most_pieces({}) == 12 and mv.most_pieces({shape: 1.0}) >= 14
+    assert mv.parse(f"{firm}; Ann Lee", "people", {shape: 1.0, "WW": 2.0}) == [firm, "Ann Lee"]
+    many = [f"Ann Lee{'abcdefghij'[i % 10]}" for i in range(300)]
+    assert mv.parse("; ".join(many), "people", {"WW": 1.0}) == many and mv.parse(", ".join(many), "people", {"WW": 1.0}) == many
+
+
+def test_memory_changes_nothing(spark):
+    rows = [(i, t) for i, t in enumerate(["Ann Lee; Bob Ray", "Ann Lee; Bob Ray", "Solo", None, "", "Ann Lee, Bob Ray"] * 3)]
+    df = spark.createDataFrame(rows, "id long, a string")
+    got = split_values(df, "id", {"a": "people"}, "t").collect()
+    assert {r.row_key for r in got} == {i for i, t in rows if t and t != "Solo"} and len(got) == 2 * len({r.row_key for r in got})

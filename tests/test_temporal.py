@@ -101,3 +101,13 @@ def test_fields(spark):
     got = sorted((r.row_key, r.field_name, r.norm_value) for r in normalize_fields(df, "k", ["p", "u"], "t", prof).collect())
     assert got == [(1, "p", "2020-01-01"), (1, "p", "2020-01-01"), (2, "p", "2020-01-01"), (3, "u", "2020-06-05")]
     assert normalize_fields(df.limit(0), "k", ["p", "u"], "t", prof).count() == 0
+
+
+def test_every_zone_name_is_known(spark):
+    """Names whose parts are not capitalised word by word, in any case."""
+    from strataloom.functions.timestamps import normalize_timestamp
+
+    rows = [("2024-01-15 12:00 US/Eastern", "17"), ("2024-01-15 12:00 us/pacific", "20"), ("2024-01-15 12:00 America/Port_of_Spain", "16"), ("2024-01-15 12:00 Africa/Dar_es_Salaam", "09"), ("2024-01-15 12:00 [Europe/Isle_of_Man]", "12"), ("2024-01-15 12:00 Mars/Base", None)]
+    df = spark.createDataFrame(rows, "v string, h string")
+    for r in df.select("v", "h", normalize_timestamp(F.col("v")).alias("n")).collect():
+        assert r.n == (r.h and f"2024-01-15T{r.h}:00:00.000000Z"), r
