@@ -5,15 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from .documents import Filters, resolve_domain
-
 MODES = ("hybrid", "fulltext", "semantic")
 
 
 @dataclass(frozen=True)
 class Request:
     query: str
-    filters: Filters
+    domain: str | None = None
     limit: int = 5
     min_score: float = 0.0
     mode: str = "hybrid"
@@ -32,8 +30,8 @@ def _number(body: dict, name: str, default: float, low: float, high: float, whol
     return max(low, min(v, high))
 
 
-def parse(body: Any, known_sources: set[str] = frozenset()) -> Request:
-    """A request of an agent; an unknown mode is hybrid, unknown keys are ignored."""
+def parse(body: Any) -> Request:
+    """A request of an agent, its domain filter yet to be resolved (documents.resolve_domains); an unknown mode is hybrid, unknown keys are ignored."""
     if not isinstance(body, dict):
         raise ValueError("a request is an object")
     q, domain = body.get("query"), body.get("domain_filter")
@@ -42,4 +40,4 @@ def parse(body: Any, known_sources: set[str] = frozenset()) -> Request:
     if domain is not None and not isinstance(domain, str):
         raise ValueError("domain_filter must be a text")
     mode = body.get("mode") if body.get("mode") in MODES else "hybrid"
-    return Request(q.strip(), resolve_domain(domain, known_sources), int(_number(body, "limit", 5, 1, 25, True)), float(_number(body, "min_score", 0.0, 0.0, 1.0, False)), mode)
+    return Request(q.strip(), domain, int(_number(body, "limit", 5, 1, 25, True)), float(_number(body, "min_score", 0.0, 0.0, 1.0, False)), mode)

@@ -21,6 +21,26 @@ K1, B, RRF_K, CANDIDATES = 1.2, 0.75, 60, 100
 BOOSTS = {"title": 3.0, "abstract": 2.0, "search_text": 1.0, "authors": 2.0, "equations": 2.0}
 
 
+#: Fields whose words are looked at as a phrase.
+PHRASED = ("title", "abstract", "search_text")
+
+
+def slop_phrase(positions: Column, slop: int = 2) -> Column:
+    """Whether some choice of one position for each term, in the terms' order, departs from a phrase by ``slop`` at most.
+
+    positions: an array for each term of where it stands. What counts is how far the positions less the terms' places lie
+    apart, so neighbours may be swapped or words stand between.
+    """
+    moved = F.transform(positions, lambda ps, i: F.transform(ps, lambda p: p - i))
+    fits = lambda all_, a: F.forall(all_, lambda ps: F.exists(ps, lambda p: p.between(a, a + slop)))
+    return F.element_at(F.transform(F.array(moved), lambda m: F.exists(F.flatten(m), lambda a: fits(m, a))), 1)
+
+
+def _places(words: Column, term: str) -> Column:
+    """Where a term stands, from 0."""
+    return F.filter(F.transform(words, lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull())
+
+
 def query_terms(q: str | None) -> list[str]:
     return re.findall(r"[^\W_]+", q or "")
 
@@ -37,7 +57,7 @@ def postings(df: DataFrame, id_: str, fields: dict[str, Column]) -> DataFrame:
     return rows.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
-def bm25(df: DataFrame, id_: str, fields: dict[str, Column], query: str, keep: Column | None = None, short: str = "all", phrase_boost: float = 2.0) -> DataFrame:
+def bm25(df: DataFrame, id_: str, fields: dict[str, Column], query: str, keep: Column | None = None, short: str = "all", phrase_boost: float = 2.0, slop: int = 2) -> DataFrame:
     """(id, score) of the documents that match: the best field's boosted BM25, plus a bonus for the whole phrase.
 
     Statistics cover all of df; ``keep`` narrows only the result. A field counts if it holds enough of the terms. No terms
@@ -54,7 +74,9 @@ def bm25(df: DataFrame, id_: str, fields: dict[str, Column], query: str, keep: C
     for f in fields:
         w = F.col(f"w_{f}")
         cols += [F.size(w).alias(f"dl_{f}"), F.filter(w, lambda x: x.isin(terms)).alias(f"hit_{f}")]
-        cols.append((F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).contains(f" {' '.join(terms)} ") if phrase else F.lit(False)).alias(f"ph_{f}"))
+        every = reduce(lambda a, b: a & b, [F.array_contains(w, t) for t in terms])
+        at = F.array(*[_places(w, t) for t in terms])
+        cols.append((F.when(every, slop_phrase(at, slop)).otherwise(False) if phrase and f in PHRASED else F.lit(False)).alias(f"ph_{f}"))
     base = materialize(split.select("id", "keep", *cols))
     tf = lambda f, t: F.size(F.filter(f"hit_{f}", lambda x: x == t))
     aggs = [F.count("*").alias("n")] + [F.avg(f"dl_{f}").alias(f"avg_{f}") for f in fields]
@@ -271,21 +293,25 @@ def facet(df: DataFrame, name: str, value: Column, most: int | None = 20) -> Dat
     return c if most is None else c.orderBy(F.desc("count"), "value").limit(most)
 
 
-def approximate_knn(df: DataFrame, id_: str, vector: str, query: list[float], k: int, planes: int = 6, tables: int = 8, seed: int = 5, flips: int = 2) -> DataFrame:
-    """(id, score): nearest among the vectors whose signature of random planes differs from the query's in at most
-    ``flips`` signs in some table (0: equal signatures only).
+def quantize(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    """(id, code, scale): unit vectors with a byte for each entry, a quarter of the size; rows without a vector left out."""
+    v = df.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v"))
+    v = v.select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), F.array_max(F.transform("v", lambda x: F.abs(x))).alias("top"))
+    code = F.transform("v", lambda x: F.coalesce(F.round(x / F.nullif(F.col("top"), F.lit(0.0)) * 127), F.lit(0.0)).cast("byte"))
+    return v.select("id", code.alias("code"), F.coalesce(F.try_divide(F.col("top") / 127, "norm"), F.lit(0.0)).alias("scale"))
+
 
-    Signatures are sums over the vector's entries in the JVM; candidates are then ranked exactly.
+def approximate_knn(df: DataFrame, id_: str, vector: str, query: list[float], k: int, codes: DataFrame | None = None, candidates: int | None = None) -> DataFrame:
+    """(id, score): the k nearest by cosine, looked for among the ``candidates`` (3 k) nearest by their codes.
+
+    Only the codes of all rows are read; the vectors of the candidates alone are ranked exactly. codes: as quantize()
+    wrote them, once for all queries.
     """
-    import numpy as np
-
-    q = np.array(query, float)
-    p = np.random.default_rng(seed).standard_normal((tables, planes, len(q)))
-    # planes turned to the query's side, as one expression: a literal an entry would be slow to plan
-    p *= np.where(p @ q >= 0, 1.0, -1.0)[:, :, None]
-    arr = lambda x: f"array({','.join(map(arr, x))})" if isinstance(x, list) else f"{x!r}D"
-    some = F.exists(F.expr(arr(p.tolist())), lambda t: F.size(F.filter(t, lambda row: T.dot(F.col(vector), row) < 0)) <= flips)
-    return knn(df.where(some), id_, vector, query, k)
+    codes = materialize(quantize(df, id_, vector)) if codes is None else codes
+    q = F.array(*[F.lit(float(x)) for x in query])
+    rough = codes.select("id", (T.dot(F.col("code"), q) * F.col("scale")).alias("score"))
+    few = top_k(rough, candidates or 3 * k).select(F.col("id").alias(id_))
+    return knn(df.join(F.broadcast(few), id_, "left_semi"), id_, vector, query, k)
 
 
 def related(df: DataFrame, id_: str, vector: str, of: int, k: int = 8) -> DataFrame:

@@ -38,13 +38,29 @@ def deduplicate(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(best.alias("r")).select(key, "r.*")
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """Writes the table's next version: incoming rows replace those of equal key. Repeating it changes nothing."""
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, key: str, order: str, newest: bool = True) -> DataFrame:
+    """Writes the table's next version: incoming rows replace those of equal key. Repeating it changes nothing.
+
+    newest: a row replaces one of equal key only if its ``order`` is not lower, so rows may arrive late; else what arrives
+    last wins. A null order is the lowest.
+    """
     new = deduplicate(incoming, key, order)
     old = current(spark, path)
-    out = new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    if old is None:
+        out = new
+    elif newest:
+        # one aggregation over both, the incoming row first among equals
+        both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+        cols = [c for c in both.columns if c not in (key, "__new")]
+        best = F.max_by(F.struct(*cols), F.struct(F.col(order), F.col("__new")))
+        out = both.groupBy(key).agg(best.alias("r")).select(key, "r.*")
+    else:
+        out = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
     v = versions(spark, path)
     out.write.parquet(f"{path}/{v[-1] + 1 if v else 1}")
+    for n in v[:-1]:
+        # the version before stays for readers that are still at it
+        drop(spark, f"{path}/{n}")
     return current(spark, path)
 
 

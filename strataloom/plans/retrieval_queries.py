@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as ans
 from ..operators import documents as D
+from ..operators import index as X
 from ..operators import retrieval as S
 from ..runtime import bounded_broadcast, table
 from .registry import Registry
@@ -16,32 +17,56 @@ R = Registry()
 Q4, Q2, Q1 = "calibrated sensor drift harness", "resonant valve", "gearbox"
 docs = lambda s, d: table(s, d, "documents")
 eng = lambda s, d: table(s, d, "engineering_docs")
-FIELDS = {"title": F.col, "abstract": F.col, "search_text": F.col}
 
 
 def _fields() -> dict:
     t = T.empty(F.col("title"))
-    return {"title": t, "abstract": F.substr("text", F.lit(1), F.lit(500)), "search_text": F.concat(t, F.lit("\n"), F.col("text"))}
+    return {"title": t, "search_text": F.concat(t, F.lit("\n"), F.col("text"))}
 
 
-def _bm25_sql(q: str, phrase: bool = True, need: int | None = None) -> str:
+def _all_fields() -> dict:
+    join = lambda c: F.array_join(F.col(c), " ")
+    return {"title": F.col("title"), "abstract": F.col("abstract"), "authors": join("authors"), "equations": join("equations"), "search_text": D.search_text()}
+
+
+def _bm25_sql(q: str, phrase: bool = True, need: int | None = None, src: str | None = None, boosts: dict | None = None) -> str:
     """CTEs ending in bm(id, lang, source, title, score)."""
     terms = list(dict.fromkeys(q.lower().split()))
     need = S.floor_of(len(terms)) if need is None else need
     lst = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
     tok = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
-    return rf"""d AS (SELECT doc_id AS id, lang, source, coalesce(title, '') AS title, text[1:500] AS abstract, coalesce(title, '') || chr(10) || text AS search_text FROM documents),
-f AS (SELECT id, 'title' AS field, 3.0 AS boost, {tok('title')} AS w FROM d UNION ALL SELECT id, 'abstract', 2.0, {tok('abstract')} FROM d UNION ALL SELECT id, 'search_text', 1.0, {tok('search_text')} FROM d),
+    src = src or "SELECT doc_id AS id, lang, source, coalesce(title, '') AS title, coalesce(title, '') || chr(10) || text AS search_text FROM documents"
+    boosts = boosts or {"title": 3.0, "search_text": 1.0}
+    each = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {b} AS boost, {tok(f)} AS w FROM d" for f, b in boosts.items())
+    # where each term stands, less the term's own place
+    at = [f"list_transform(list_filter(range(1, len(w) + 1), lambda k: w[k] = '{t}'), lambda k: k - {i})" for i, t in enumerate(terms)]
+    near = " AND ".join(f"len(list_filter(p{i}, lambda p: p >= a AND p <= a + 2)) > 0" for i in range(len(terms)))
+    anywhere = " || ".join(f"p{i}" for i in range(len(terms)))
+    places = ", ".join(f"{x} AS p{i}" for i, x in enumerate(at))
+    return rf"""d AS ({src}), f AS ({each}),
 st AS (SELECT field, count(*) AS n, avg(len(w)) AS av FROM f GROUP BY field), q AS (SELECT unnest({lst}) AS term),
 h AS (SELECT id, field, boost, term, len(list_filter(w, lambda x: x = term)) AS tf, len(w) AS dl FROM f, q WHERE list_contains(w, term)),
 dq AS (SELECT st.field, q.term, ln(1 + (st.n - coalesce(c.df, 0) + 0.5) / (coalesce(c.df, 0) + 0.5)) AS idf FROM st CROSS JOIN q LEFT JOIN (SELECT field, term, count(*) AS df FROM h GROUP BY ALL) c ON c.field = st.field AND c.term = q.term),
 b AS (SELECT h.id, h.field, CASE WHEN count(*) >= {max(need, 1)} THEN any_value(boost) * sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) ELSE 0 END AS sc FROM h JOIN dq USING (field, term) JOIN st USING (field) GROUP BY h.id, h.field),
-ph AS (SELECT f.id, max(CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' {' '.join(terms)} ') THEN boost * si ELSE 0 END) * {2.0 if phrase and len(terms) > 1 else 0.0} AS extra FROM f JOIN (SELECT field, sum(idf) AS si FROM dq GROUP BY field) USING (field) GROUP BY f.id),
+pp AS (SELECT id, field, {places} FROM f WHERE field IN ('title', 'abstract', 'search_text') AND list_has_all(w, {lst})),
+ph AS (SELECT d.id, coalesce(x.extra, 0.0) AS extra FROM d LEFT JOIN (SELECT pp.id, max(boost * si) * {2.0 if phrase and len(terms) > 1 else 0.0} AS extra FROM pp JOIN (SELECT DISTINCT field, boost FROM f) USING (field) JOIN (SELECT field, sum(idf) AS si FROM dq GROUP BY field) USING (field) WHERE len(list_filter({anywhere}, lambda a: {near})) > 0 GROUP BY pp.id) x USING (id)),
 bm AS (SELECT d.id, lang, source, title, round(m.sc + extra, 6) AS score FROM d JOIN (SELECT id, max(sc) AS sc FROM b GROUP BY id) m USING (id) JOIN ph USING (id) WHERE m.sc > 0)"""
 
 
+def _index(s: SparkSession, d: str) -> X.TextIndex:
+    """The stored index of documents; the first query of a session that needs it builds it."""
+    return X.build(docs(s, d), "doc_id", _fields(), X.stored(s, f"{d}/documents.parquet", "postings"))
+
+
 def _bm(s: SparkSession, d: str, q: str, keep=None, **how) -> DataFrame:
-    return S.bm25(docs(s, d), "doc_id", _fields(), q, keep, **how)
+    allowed = None if keep is None else docs(s, d).where(keep).select(F.col("doc_id").alias("id"))
+    return X.bm25(s, _index(s, d), q, allowed, **how)
+
+
+def _near(s: SparkSession, d: str, q: str) -> DataFrame:
+    """(id, score) by the stored hash vectors of the English documents."""
+    path = X.stored(s, f"{d}/documents.parquet", "vectors-en")
+    return S.hash_knn(X.build_vectors(docs(s, d).where("lang = 'en'"), "doc_id", F.col("text"), path), "doc_id", q)
 
 
 for _name, _q, _short in (("ret02_bm25", Q4, "all"), ("ret02_bm25_one_term", Q1, "all"), ("ret03_floor_two_terms", Q2, "all"), ("ret03_floor_two_terms_any", Q2, "any")):
@@ -56,6 +81,21 @@ def ret04(s, d):
     return _bm(s, d, "readings over")
 
 
+_ALL = """SELECT ingest_seq AS id, language AS lang, source, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract, coalesce(array_to_string(authors, ' '), '') AS authors, coalesce(array_to_string(equations, ' '), '') AS equations,
+coalesce(title, '') || chr(10) || coalesce(array_to_string(authors, ' '), '') || chr(10) || coalesce(abstract, '') || chr(10) || coalesce(body, '') || chr(10) || coalesce(array_to_string(categories, ' '), '') || chr(10) || coalesce(array_to_string(tags, ' '), '') AS search_text FROM engineering_docs"""
+
+
+@R.add("ret02_bm25_all_fields", f"WITH {_bm25_sql(Q2, src=_ALL, boosts={f: S.BOOSTS[f] for f in ('title', 'abstract', 'authors', 'equations', 'search_text')})} SELECT id, score FROM bm")
+def ret02_all(s, d):
+    """All five fields of the document model with their boosts; read row by row, without an index."""
+    return S.bm25(eng(s, d), "ingest_seq", _all_fields(), Q2)
+
+
+@R.add("ret02_bm25_row_by_row", f"WITH {_bm25_sql(Q4)} SELECT id, score FROM bm")
+def ret02_rows(s, d):
+    return S.bm25(docs(s, d), "doc_id", _fields(), Q4)
+
+
 @R.add("ret05_fulltext", r"WITH p AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents) SELECT doc_id FROM p WHERE contains(t, ' sensor ') AND (contains(t, ' valve ') OR contains(t, ' gearbox ')) AND NOT contains(t, ' gyroscope ') AND contains(t, ' for the ')")
 def ret05(s, d):
     return docs(s, d).where(S.fulltext(F.col("text"), 'sensor valve or gearbox -gyroscope "for the"')).select("doc_id")
@@ -82,8 +122,10 @@ def ret07(s, d):
 
 @R.add("ret08_approximate_knn")
 def ret08(s, d):
-    """Random-plane signatures; rows only, as its recall (README) depends on the planes drawn."""
-    return S.approximate_knn(table(s, d, "embeddings"), "vec_id", "embedding", _first_vector(s, d), 20)
+    """Candidates by one-byte codes, stored once; rows only, as its recall is tested and not certain."""
+    e, path = table(s, d, "embeddings"), X.stored(s, f"{d}/embeddings.parquet", "codes")
+    codes = X.stored_table(s, path, lambda: S.quantize(e, "vec_id", "embedding"))
+    return S.approximate_knn(e, "vec_id", "embedding", _first_vector(s, d), 20, codes)
 
 
 @R.add("ret09_browse", "SELECT doc_id AS id, CAST(added_at AS VARCHAR) AS added FROM documents WHERE lang = 'en' ORDER BY added_at DESC NULLS LAST, doc_id LIMIT 100")
@@ -109,8 +151,7 @@ fu AS (SELECT id, round(sum(1.0 / (60 + r + 1)), 6) AS score, min(l * 1000 + r)
 
 def hybrid(s: SparkSession, d: str, q: str = Q4, page: int = 1, per_page: int = 20) -> DataFrame:
     """Lexical and vector candidates fused; the page's rows get their titles by a join of at most per_page rows."""
-    en = docs(s, d).where("lang = 'en'")
-    lists = [S.ranked(_bm(s, d, q, F.col("lang") == "en"), S.CANDIDATES), S.ranked(S.hash_knn(S.hash_vectors(en, "doc_id", F.col("text")), "doc_id", q), S.CANDIDATES)]
+    lists = [S.ranked(_bm(s, d, q, F.col("lang") == "en"), S.CANDIDATES), S.ranked(_near(s, d, q), S.CANDIDATES)]
     fused = S.rrf([x.select("id", "rank") for x in lists])
     pg = S.page_of(fused, page, per_page, F.desc("score"), F.col("first_list"), F.col("first_rank"))
     top = pg.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_list", "first_rank")))
@@ -130,8 +171,7 @@ def srt02(s, d):
 
 @R.add("ret10_rrf", f"WITH {_hybrid_sql(Q4)} SELECT id, score FROM fu")
 def ret10(s, d):
-    en = docs(s, d).where("lang = 'en'")
-    lists = [S.ranked(_bm(s, d, Q4, F.col("lang") == "en"), 100), S.ranked(S.hash_knn(S.hash_vectors(en, "doc_id", F.col("text")), "doc_id", Q4), 100)]
+    lists = [S.ranked(_bm(s, d, Q4, F.col("lang") == "en"), 100), S.ranked(_near(s, d, Q4), 100)]
     return S.rrf(lists).select("id", "score")
 
 
@@ -148,23 +188,15 @@ def ret12(s, d):
 
 @R.add("ret13_candidate_merge", f"WITH {_hybrid_sql(Q4)} SELECT id, CAST(o // 1000 AS INTEGER) AS first_list FROM fu")
 def ret13(s, d):
-    en = docs(s, d).where("lang = 'en'")
-    lists = [S.ranked(_bm(s, d, Q4, F.col("lang") == "en"), 100), S.ranked(S.hash_knn(S.hash_vectors(en, "doc_id", F.col("text")), "doc_id", Q4), 100)]
+    lists = [S.ranked(_bm(s, d, Q4, F.col("lang") == "en"), 100), S.ranked(_near(s, d, Q4), 100)]
     return S.rrf(lists).select("id", "first_list")
 
 
-@R.add("ret14_surviving_branch", f"WITH {_bm25_sql(Q4)} SELECT id, score FROM bm")
+@R.add("ret14_surviving_branch", f"WITH {_hybrid_sql(Q4)} SELECT id, score FROM fu")
 def ret14(s, d):
-    """Fuses the branches that work: the vector branch fails here, as documents carry no vector column."""
-    out = []
-    for branch in (lambda: _bm(s, d, Q4), lambda: S.knn(docs(s, d), "doc_id", "embedding", [1.0], 10)):
-        try:
-            out.append(branch())
-        except Exception:  # noqa: BLE001 - whatever fails, the others answer; an error is raised only if all do
-            continue
-    if not out:
-        raise RuntimeError("no retriever answered")
-    return out[0]
+    """Fuses the branches that work. One fails when planned, as documents carry no vector column, one while it runs."""
+    broken = docs(s, d).select(F.col("doc_id").alias("id"), F.raise_error(F.lit("branch down")).cast("double").alias("score"))
+    return X.fuse([lambda: _bm(s, d, Q4, F.col("lang") == "en"), lambda: S.knn(docs(s, d), "doc_id", "embedding", [1.0], 10), lambda: _near(s, d, Q4), lambda: broken])
 
 
 @R.add("ret15_related", f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_EMB}::DOUBLE[]), 6) AS score FROM embeddings WHERE vec_id <> (SELECT min(vec_id) FROM embeddings) ORDER BY score DESC, id LIMIT 8")
@@ -175,11 +207,10 @@ def ret15(s, d):
 
 @R.add("ret16_related_by_terms")
 def ret16(s, d):
-    """The document's 25 strongest terms as a query of any terms; rows only, as near-equal weights may swap terms."""
+    """The document's 25 strongest terms of title and text as a query of any of them; rows only, as near-equal weights
+    may swap terms."""
     of = docs(s, d).agg(F.min("doc_id")).collect()[0][0]
-    terms = S.key_terms(docs(s, d), "doc_id", F.col("text"), of)
-    hits = S.bm25(docs(s, d), "doc_id", {"search_text": F.col("text")}, " ".join(terms), F.col("doc_id") != of, phrase_boost=1.0)
-    return S.top_k(hits, 8)
+    return X.more_like(s, _index(s, d), docs(s, d), "doc_id", {"title": F.col("title"), "text": F.col("text")}, of)
 
 
 @R.add("ret17_degrade_to_lexical", f"WITH {_bm25_sql(Q2)} SELECT id, score FROM bm")
@@ -192,9 +223,9 @@ def ret17(s, d):
 _RR = """CASE WHEN contains(lower(coalesce(title, '')), 'resonant valve') THEN 1.35 WHEN contains(lower({b}), 'resonant valve') THEN 1.15 ELSE 1.0 END * CASE WHEN contains(lower(coalesce(title, '')), 'resonant') AND contains(lower(coalesce(title, '')), 'valve') THEN 1.25 ELSE 1.0 END"""
 
 
-@R.add("ret18_rerank", f"SELECT doc_id, round(10.0 * {_RR.format(b='text[1:500]')}, 6) AS score FROM documents")
+@R.add("ret18_rerank", f"SELECT doc_id, round(10.0 * {_RR.format(b='text')}, 6) AS score FROM documents")
 def ret18(s, d):
-    return docs(s, d).select("doc_id", F.round(S.rerank(F.lit(10.0), F.col("title"), F.substr("text", F.lit(1), F.lit(500)), Q2), 6).alias("score"))
+    return docs(s, d).select("doc_id", F.round(S.rerank(F.lit(10.0), F.col("title"), F.col("text"), Q2), 6).alias("score"))
 
 
 @R.add("ret19_acronyms", "SELECT * FROM (VALUES ('DMA buffer', 'DMA buffer direct memory access'), ('spi SPI serial', 'spi SPI serial peripheral interface'), ('plain', 'plain')) t(query, expanded)")
@@ -301,9 +332,9 @@ def flt05(s, d):
 @R.add("flt07_domain_filter", "SELECT ingest_seq, 'kind:report' AS domain FROM engineering_docs WHERE kind = 'report' UNION ALL SELECT ingest_seq, 'pelmohub' FROM engineering_docs WHERE source = 'pelmohub' UNION ALL SELECT ingest_seq, 'annealing' FROM engineering_docs WHERE list_has_any(categories, ['annealing'])")
 def flt07(s, d):
     e = eng(s, d)
-    known = {"pelmohub"}
-    parts = [D.resolve_domain(q, known).apply(e).select("ingest_seq", F.lit(q).alias("domain")) for q in ("kind:report", "pelmohub", "annealing")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    asked = s.createDataFrame([(q,) for q in ("kind:report", "pelmohub", "annealing", "")], "domain string")
+    resolved = D.resolve_domains(asked, "domain", table(s, d, "source_profiles"))
+    return D.in_domain(e, resolved).select("ingest_seq", "domain")
 
 
 @R.add("flt08_exclusion_list", "SELECT zlibrary_id FROM zlib_book z WHERE NOT EXISTS (SELECT 1 FROM libgenrs_updated r WHERE lower(r.\"MD5\") = lower(z.md5))")
@@ -417,8 +448,7 @@ def srt01(s, d):
 
 @R.add("srt03_stable_ties", f"WITH {_hybrid_sql(Q4)} SELECT id, CAST(row_number() OVER (ORDER BY score DESC, o) AS INTEGER) AS place FROM fu ORDER BY score DESC, o LIMIT 50")
 def srt03(s, d):
-    en = docs(s, d).where("lang = 'en'")
-    fused = S.rrf([S.ranked(_bm(s, d, Q4, F.col("lang") == "en"), 100), S.ranked(S.hash_knn(S.hash_vectors(en, "doc_id", F.col("text")), "doc_id", Q4), 100)])
+    fused = S.rrf([S.ranked(_bm(s, d, Q4, F.col("lang") == "en"), 100), S.ranked(_near(s, d, Q4), 100)])
     order = [F.desc("score"), F.col("first_list"), F.col("first_rank")]
     return fused.orderBy(*order).limit(50).select("id", F.row_number().over(Window.orderBy(*order)).alias("place"))
 

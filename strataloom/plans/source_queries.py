@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import jobs, requests
 from ..operators import sinks as K
-from ..runtime import shared_dir, table
+from ..runtime import scratch, table
 from ..sources import files as I
 from ..sources import payloads as P
 from ..sources import registry
@@ -22,10 +20,6 @@ zl = lambda s, d: table(s, d, "zlib_book")
 J = lambda c: F.array_join(c, "|")
 
 
-def scratch(s) -> str:
-    return f"{shared_dir(s)}/strataloom-{uuid.uuid4().hex}"
-
-
 @R.add("src01_registry", "SELECT * FROM (VALUES ('articles', 'paper'), ('catalog', 'library'), ('code', 'code'), ('energy_reports', 'report'), ('reports', 'report'), ('repositories', 'repository')) t(name, kind)")
 def src01(s, d):
     return s.createDataFrame([(n, registry.get(n).kind) for n in registry.names()], "name string, kind string")
@@ -212,7 +206,7 @@ def _versioned(s, d):
     path = scratch(s)
     e = eng(s, d).select("id", "title", "indexed_at", "ingest_seq", "has_code")
     for code in (False, True):
-        K.upsert(s, path, e.where(F.col("has_code") == code).drop("has_code"), "id", "indexed_at")
+        K.upsert(s, path, e.where(F.col("has_code") == code).drop("has_code"), "id", "indexed_at", newest=False)
     return path
 
 
@@ -343,8 +337,7 @@ def str03(s, d):
     for code in (False, True):
         e.where(F.col("has_code") == code).drop("has_code").write.mode("append").parquet(f"{base}/in")
         out = ingest(s, f"{base}/in", e.drop("has_code").schema, f"{base}/table", f"{base}/checkpoint")
-    # a later batch replaces rows of an earlier one, so the latest of each id is taken over the whole stream
-    return out.join(e.groupBy("id").agg(F.max("indexed_at").alias("m")), "id").select("id", F.greatest("indexed_at", "m").cast("string").alias("indexed_at"))
+    return out.select("id", F.col("indexed_at").cast("string").alias("indexed_at"))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -7,8 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def get_spark(app: str = "strataloom", cores: str | int = "*", shuffle: int | None = None) -> SparkSession:
-    """A session with AQE, UTC and Arrow; on a cluster the master and sizes come from spark-submit."""
+def get_spark(app: str = "strataloom", cores: str | int = "*", shuffle: int | None = None, shared: str | None = None) -> SparkSession:
+    """A session with AQE, UTC and Arrow; on a cluster the master and sizes come from spark-submit.
+
+    shared: the folder that all executors share, unless spark-submit names it in spark.checkpoint.dir.
+    """
     b = SparkSession.builder.appName(app)
     if "SPARK_MASTER" not in os.environ:
         b = b.master(f"local[{cores}]")
@@ -20,6 +23,8 @@ def get_spark(app: str = "strataloom", cores: str | int = "*", shuffle: int | No
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if shared:
+        conf["spark.checkpoint.dir"] = shared
     if shuffle:
         conf["spark.sql.shuffle.partitions"] = str(shuffle)
     return b.config(map=conf).getOrCreate()

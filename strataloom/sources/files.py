@@ -123,6 +123,10 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.md5("content").alias("md5"))
 
 
+#: Sitemaps that one level of an index may name.
+MAX_SITEMAPS = 1_000_000
+
+
 def sitemap(spark: SparkSession, paths: list[str], resolve, depth: int = 5, whole_files: bool = True) -> DataFrame:
     """(loc): pages of sitemap files; an index is followed through ``resolve`` (locations to paths) up to ``depth`` times.
 
@@ -141,8 +145,10 @@ def sitemap(spark: SparkSession, paths: list[str], resolve, depth: int = 5, whol
         seen |= set(paths)
         part = read("url", paths)
         out = part if out is None else out.unionByName(part)
-        # an index names few files, so its entries may come to the driver
-        more = [r.loc.strip() for r in read("sitemap", paths).limit(50_000).collect() if r.loc]
+        # the files an index names are paths to read, so they must come to the driver; too many are an error, none is dropped
+        more = [r.loc.strip() for r in read("sitemap", paths).limit(MAX_SITEMAPS + 1).collect() if r.loc]
+        if len(more) > MAX_SITEMAPS:
+            raise ValueError(f"the index names more than {MAX_SITEMAPS} sitemaps")
         paths = sorted({p for p in map(resolve, more) if p} - seen)
     return out.select(F.trim("loc").alias("loc")).where("length(loc) > 0").distinct()
 
@@ -150,13 +156,11 @@ def sitemap(spark: SparkSession, paths: list[str], resolve, depth: int = 5, whol
 def pdf_text(spark: SparkSession, path: str, pages: int = 40) -> DataFrame:
     """(name, text) of PDF files; "" where the file cannot be read or no PDF library is installed."""
 
-    def one(content: bytes) -> str:
-        try:
-            import io
+    def one(content: bytes, reader) -> str:
+        import io
 
-            from pypdf import PdfReader
-
-            raw = "\n".join((p.extract_text() or "") for p in PdfReader(io.BytesIO(content)).pages[:pages])
+        try:
+            raw = "\n".join((p.extract_text() or "") for p in reader(io.BytesIO(content)).pages[:pages])
         except Exception:  # noqa: BLE001 - an unreadable file has no text
             return ""
         return "\n".join(x for x in map(str.strip, raw.splitlines()) if x)
