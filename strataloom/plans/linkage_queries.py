@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import catalogue as G
 from ..operators import collections as C
 from ..operators import linkage as L
 from ..runtime import table
 from .registry import Registry
+from .text_queries import S13, TO10
 
 R = Registry()
 z = lambda s, d: table(s, d, "zlib_book")
@@ -84,11 +86,18 @@ def joi08(s, d):
     return L.left_chain(keys, "key", [(one("md5_reported"), "k2"), (one("md5"), "k2")]).select("key", F.coalesce("id_md5_reported", "id_md5").alias("zlibrary_id"))
 
 
-@R.add("joi09_edition_work_fallback", "SELECT e.e_id, coalesce(nullif(e.description, ''), s.description, '') AS description, coalesce(s.name, '') AS series FROM libgenli_editions e LEFT JOIN libgenli_series s ON s.s_id = e.s_id")
+@R.add("joi09_edition_work_fallback", "SELECT '/books/' || e.e_id AS ol_key, coalesce('/works/' || e.s_id, '') AS work_key, s.s_id IS NOT NULL AS has_work, CASE WHEN e.e_id % 2 = 0 THEN '/authors/' || (e.e_id % 7) || ',/authors/' || (e.e_id % 3) WHEN s.s_id IS NOT NULL THEN '/authors/' || (s.s_id % 5) ELSE '' END AS authors FROM libgenli_editions e LEFT JOIN libgenli_series s ON s.s_id = e.s_id")
 def joi09(s, d):
-    ser = table(s, d, "libgenli_series").select("s_id", "name", F.col("description").alias("sd"))
-    e = L.lookup(li(s, d), ser, "s_id")
-    return e.select("e_id", F.coalesce(F.nullif("description", F.lit("")), "sd", F.lit("")).alias("description"), F.coalesce("name", F.lit("")).alias("series"))
+    """Editions, works and authors as rows of JSON; half of the editions name authors of their own."""
+    key = lambda p, c: F.concat(F.lit(f"/{p}/"), c.cast("string"))
+    named = lambda c: F.struct(c.alias("key"))
+    e, ser = li(s, d).select("e_id", "s_id"), table(s, d, "libgenli_series").select("s_id")
+    own = F.when(F.col("e_id") % 2 == 0, F.array(named(key("authors", F.col("e_id") % 7)), named(key("authors", F.col("e_id") % 3))))
+    books = e.select(key("books", F.col("e_id")).alias("ol_key"), F.to_json(F.struct(F.when(F.col("s_id").isNotNull(), F.array(named(key("works", F.col("s_id"))))).alias("works"), own.alias("authors"))).alias("json"))
+    works = ser.select(key("works", F.col("s_id")).alias("ol_key"), F.to_json(F.struct(F.array(F.struct(named(key("authors", F.col("s_id") % 5)).alias("author"))).alias("authors"))).alias("json"))
+    people = s.range(7).select(key("authors", F.col("id")).alias("ol_key"), F.lit("{}").alias("json"))
+    got = G.editions_with_works(books.unionByName(works).unionByName(people))
+    return got.select("ol_key", F.coalesce("work_key", F.lit("")).alias("work_key"), F.col("work_json").isNotNull().alias("has_work"), F.array_join("author_keys", ",").alias("authors"))
 
 
 @R.add("joi10_match_with_label", f"WITH a AS (SELECT {ZK} AS key, count(*) AS n FROM zlib_book z GROUP BY 1), b AS (SELECT {RK} AS key, count(*) AS n FROM libgenrs_updated r GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'second' WHEN b.key IS NULL THEN 'first' ELSE 'both' END AS label FROM (SELECT * FROM a WHERE key IS NOT NULL) a FULL JOIN (SELECT * FROM b WHERE key IS NOT NULL) b ON a.key = b.key")
@@ -97,6 +106,21 @@ def joi10(s, d):
     return a.join(b, "key", "full_outer").select("key", F.when(F.col("a").isNull(), "second").when(F.col("b").isNull(), "first").otherwise("both").alias("label"))
 
 
+_X13 = rf"""SELECT DISTINCT id, x FROM (SELECT "ID" AS id, replace(replace(unnest(regexp_extract_all("ISBN", '[0-9][0-9 -]{{8,15}}[0-9Xx]')), '-', ''), ' ', '') AS x FROM libgenrs_updated WHERE "ISBN" IS NOT NULL) WHERE regexp_full_match(x, '[0-9]{{13}}') AND ({S13}) % 10 = 0"""
+_TEN = f"CASE WHEN x[1:3] = '978' THEN x[4:12] || CASE WHEN (11 - ({TO10}) % 11) % 11 = 10 THEN 'X' ELSE CAST((11 - ({TO10}) % 11) % 11 AS VARCHAR) END END"
+
+
+@R.add("joi10_isbn_matches", f"""WITH c AS ({_X13}), a AS (SELECT DISTINCT x AS isbn, {_TEN} AS ten FROM c), r AS (SELECT DISTINCT x AS isbn13, coalesce(CASE WHEN id % 2 = 0 THEN {_TEN} ELSE x[4:13] END, '') AS isbn10 FROM c),
+m AS (SELECT isbn, isbn13, isbn10, 2 AS way FROM a JOIN r ON isbn = isbn13 UNION ALL SELECT isbn, isbn13, isbn10, 1 FROM a JOIN r ON ten = isbn10 WHERE isbn13[1:3] = '978')
+SELECT isbn, isbn13, isbn10, CASE sum(way) WHEN 3 THEN 'ISBN-10 and ISBN-13' WHEN 2 THEN 'ISBN-13' ELSE 'ISBN-10' END AS match_type FROM m GROUP BY ALL""")
+def joi10_isbn(s, d):
+    """ISBNs against records of which every second has its ISBN-10 chopped off the ISBN-13, as sources do."""
+    found = F.explode(F.regexp_extract_all("ISBN", F.lit("[0-9][0-9 -]{8,15}[0-9Xx]"), F.lit(0)))
+    c = rs(s, d).where("ISBN is not null").select("ID", found.alias("x")).select("ID", F.regexp_replace("x", "[- ]", "").alias("x")).where(T.is_isbn13(F.col("x")))
+    rec = c.select(F.col("x").alias("isbn13"), F.when(F.col("ID") % 2 == 0, T.isbn10_of(F.col("x"))).otherwise(F.substr("x", F.lit(4), F.lit(10))).alias("isbn10"))
+    return G.isbn_matches(c.select(F.col("x").alias("isbn")), rec)
+
+
 @R.add("joi11_unnest_json", "SELECT DISTINCT ingest_seq, unnest(categories) AS category FROM engineering_docs")
 def joi11(s, d):
     js = table(s, d, "engineering_docs").select("ingest_seq", F.to_json("categories").alias("j"))
@@ -232,16 +256,17 @@ def res08(s, d):
     return z(s, d).select("zlibrary_id", F.concat_ws(",", flag(F.coalesce("filesize", F.lit(0)) <= 0, "size"), flag(T.empty(F.col("title")) == "", "title"), flag(T.empty(F.col("md5")) == "", "hash")).alias("problems"))
 
 
-@R.add("res09_content_type", "SELECT e_id, CASE WHEN coalesce(issue, '') <> '' THEN 'magazine' WHEN s_id IS NOT NULL THEN 'book_series' WHEN coalesce(volume, '') <> '' THEN 'book_volume' ELSE 'book' END AS content_type FROM libgenli_editions")
+@R.add("res09_content_type", f"SELECT z.zlibrary_id, CASE WHEN k.key IS NOT NULL AND z.zlibrary_id % 3 <> 0 THEN 'book_nonfiction' WHEN k.key IS NULL AND z.zlibrary_id % 3 = 0 THEN 'book_fiction' ELSE CASE ['l','f','r','a','s','m','c','q'][z.zlibrary_id % 8 + 1] WHEN 'l' THEN 'book_nonfiction' WHEN 'f' THEN 'book_fiction' WHEN 'r' THEN 'book_fiction' WHEN 'a' THEN 'journal_article' WHEN 's' THEN 'standards_document' WHEN 'm' THEN 'magazine' WHEN 'c' THEN 'book_comic' ELSE 'book_unknown' END END AS content_type FROM zlib_book z LEFT JOIN (SELECT DISTINCT {RK} AS key FROM libgenrs_updated r) k ON k.key = {ZK}")
 def res09(s, d):
-    full = lambda c: T.empty(F.col(c)) != ""
-    return li(s, d).select("e_id", F.when(full("issue"), "magazine").when(F.col("s_id").isNotNull(), "book_series").when(full("volume"), "book_volume").otherwise("book").alias("content_type"))
+    """Topic letters drawn from the id, one specialised source that has the file if a hash agrees, another by the id."""
+    zz = z(s, d).select("zlibrary_id", T.canonical_md5(F.col("md5")).alias("key")).join(L.union_keys([rs(s, d)], ["MD5"]).withColumn("hit", F.lit(True)), "key", "left")
+    topic = F.substr(F.lit("lfrasmcq"), (F.col("zlibrary_id") % 8 + 1).cast("int"), F.lit(1))
+    return zz.select("zlibrary_id", G.content_type(topic, F.col("hit").isNotNull(), F.col("zlibrary_id") % 3 == 0).alias("content_type"))
 
 
-@R.add("res10_search_text", "SELECT zlibrary_id, coalesce(title, '')[1:1000] || chr(10) || coalesce(authors, '')[1:1000] || chr(10) || coalesce(publisher, '')[1:1000] || chr(10) || coalesce(year, '') || chr(10) || coalesce(extension, '') AS search_text FROM zlib_book")
+@R.add("res10_search_text", "SELECT zlibrary_id, array_to_string([coalesce(title, '')[1:1000], coalesce(publisher, '')[1:1000], coalesce(year, '')[1:1000], coalesce(authors, '')[1:1000], coalesce(md5_reported, '')[1:1000], coalesce(extension, ''), coalesce(language, '')], chr(10)) AS search_text FROM zlib_book")
 def res10(s, d):
-    cut = lambda c: F.substr(T.empty(F.col(c)), F.lit(1), F.lit(1000))
-    return z(s, d).select("zlibrary_id", F.concat_ws("\n", cut("title"), cut("authors"), cut("publisher"), T.empty(F.col("year")), T.empty(F.col("extension"))).alias("search_text"))
+    return z(s, d).select("zlibrary_id", G.unified_search_text(*[F.col(c) for c in ("title", "publisher", "year", "authors", "md5_reported", "extension", "language")]).alias("search_text"))
 
 
 @R.add("res11_source_list", f"SELECT z.zlibrary_id, string_agg('rs:' || r.\"ID\", ',' ORDER BY r.\"ID\") AS sources {_P} GROUP BY z.zlibrary_id")
@@ -262,10 +287,23 @@ def res13(s, d):
     return z(s, d).select("zlibrary_id", (F.floor(F.col("zlibrary_id") / 1000) * 1000).alias("bucket"))
 
 
-@R.add("res14_path_class", "SELECT ingest_seq, CASE WHEN contains(url, '/10.') THEN 'doi' WHEN url <> '' THEN 'url' ELSE 'none' END AS path_class FROM engineering_docs")
+@R.add("res14_article_link", "WITH p AS (SELECT ingest_seq, CASE ingest_seq % 4 WHEN 0 THEN '10.0000/' || replace(regexp_replace(url, '^https?://', ''), '/', '%2F') || '.pdf' WHEN 1 THEN '10.' || (1000 + ingest_seq) || chr(92) || 'x.' || ingest_seq WHEN 2 THEN '' ELSE '10.0000/plain.pdf' END AS path FROM engineering_docs WHERE url <> ''), q AS (SELECT ingest_seq, path, regexp_replace(replace(path, chr(92), '/'), '[.]pdf$', '') AS u FROM p) SELECT ingest_seq, CASE WHEN path = '' THEN '' WHEN starts_with(u, '10.0000/') AND contains(u, '%2F') THEN 'http://' || replace(u[9:], '%2F', '/') ELSE 'https://doi.org/' || u END AS link FROM q")
 def res14(s, d):
-    u = F.col("url")
-    return table(s, d, "engineering_docs").select("ingest_seq", F.when(u.contains("/10."), "doi").when(u != "", "url").otherwise("none").alias("path_class"))
+    n, bare = F.col("ingest_seq"), F.regexp_replace("url", "^https?://", "")
+    coded = F.concat(F.lit("10.0000/"), F.replace(bare, F.lit("/"), F.lit("%2F")), F.lit(".pdf"))
+    doi = F.concat(F.lit("10."), (n + 1000).cast("string"), F.lit("\\x."), n.cast("string"))
+    path = F.when(n % 4 == 0, coded).when(n % 4 == 1, doi).when(n % 4 == 2, "").otherwise("10.0000/plain.pdf")
+    return table(s, d, "engineering_docs").where("url != ''").select("ingest_seq", G.article_link(path, F.lit("pdf")).alias("link"))
+
+
+@R.add("map01_sub_values", "SELECT e_id, volume, month, nullif(issue, '') AS publisher FROM libgenli_editions")
+def map01_sub(s, d):
+    """An attribute with one additional value and a publisher's title for each edition, as maps."""
+    none = F.lit(None).cast("string")
+    meta = F.struct(F.lit("Volume (no.)").alias("name_en"), F.lit("Month").alias("name_add1_en"), F.lit("").alias("name_add2_en"), none.alias("name_add3_en"))
+    rows = li(s, d).select("e_id", F.lit(1).alias("o"), F.col("volume").alias("value"), F.col("month").alias("value_add1"), none.alias("value_add2"), none.alias("value_add3"), F.col("issue").alias("publisher_title"), meta.alias("meta"))
+    got = G.attribute_map(rows, "e_id", "o")
+    return got.select("e_id", F.try_element_at("one", F.lit("volumeno")).alias("volume"), F.try_element_at("one", F.lit("volumeno_month")).alias("month"), F.try_element_at("one", F.lit("publisher_title")).alias("publisher"))
 
 
 @R.add("res15_headline", "SELECT s_id, arg_min(title, e_id) FILTER (WHERE title <> '') AS headline, arg_max(description, e_id) FILTER (WHERE description <> '') AS last_description FROM libgenli_editions WHERE s_id IS NOT NULL GROUP BY s_id")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import catalogue as G
 from ..operators import jobs, requests
 from ..operators import sinks as K
 from ..runtime import scratch, table
@@ -169,10 +172,21 @@ def src03(s, d):
     return a.select("native", "title", J("authors").alias("authors"), J("categories").alias("categories"), "pdf_url")
 
 
-@R.add("src22_record_map", "SELECT zlibrary_id, coalesce(title, '') AS title, coalesce(authors, '') AS author, coalesce(descr, '') AS description, coalesce(filesize, 0) AS filesize FROM zlib_book")
+@R.add("src22_record_map", "SELECT zlibrary_id, coalesce(title, '') AS title, coalesce(authors, '') AS author, coalesce(publisher, '') AS publisher, coalesce(md5, '') AS md5, coalesce(descr, '') AS description, coalesce(filesize, 0) AS filesize, coalesce(filesize_reported, 0) AS filesize_reported, zlibrary_id IS NOT NULL AND zlibrary_id <> 0 AND coalesce(title, '') NOT IN ('', '0') AS valid FROM zlib_book")
 def src22(s, d):
-    e = lambda c, n: T.empty(F.col(c)).alias(n)
-    return zl(s, d).select("zlibrary_id", e("title", "title"), e("authors", "author"), e("descr", "description"), F.coalesce("filesize", F.lit(0)).alias("filesize"))
+    m = G.map_record(zl(s, d).withColumnRenamed("zlibrary_id", "id"), "zlib")
+    return m.select("zlibrary_id", "title", "author", "publisher", "md5", "description", "filesize", "filesize_reported", G.valid_record("zlib").alias("valid"))
+
+
+@R.add("src22_record_map_rs", "SELECT \"ID\", coalesce(\"Title\", '') AS \"Title\", coalesce(\"Series\", '') AS \"Series\", coalesce(\"ISBN\", '') AS \"ISBN\", coalesce(\"Size\", '') AS \"Size\" FROM libgenrs_updated WHERE coalesce(\"Title\", '') NOT IN ('', '0') AND \"ID\" <> 0")
+def src22_rs(s, d):
+    return G.map_record(table(s, d, "libgenrs_updated"), "rs").where(G.valid_record("rs")).select("ID", "Title", "Series", "ISBN", "Size")
+
+
+@R.add("src22_record_map_isbndb", "SELECT isbn13, isbn10, title FROM (SELECT '978' || \"ID\" AS isbn13, CASE WHEN \"ID\" % 2 = 0 THEN CAST(\"ID\" AS VARCHAR) ELSE '' END AS isbn10, coalesce(\"Title\", '') AS title FROM libgenrs_updated)")
+def src22_isbndb(s, d):
+    raw = table(s, d, "libgenrs_updated").select(F.concat(F.lit("978"), "ID").alias("isbn13"), F.when(F.col("ID") % 2 == 0, F.col("ID").cast("string")).alias("isbn10"), F.col("Title").alias("title"))
+    return G.map_record(raw, "isbndb").where(G.valid_record("isbndb")).select("isbn13", "isbn10", F.get_json_object("json", "$.title").alias("title"))
 
 
 @R.add("src23_validation", "SELECT zlibrary_id, coalesce(length(trim(title)) > 0 AND length(trim(md5)) > 0, false) AS valid FROM zlib_book")
@@ -242,10 +256,17 @@ def snk01(s, d):
     return s.read.parquet(path).agg(F.count("*").alias("indexed"), F.sum("n").alias("tokens"))
 
 
-@R.add("snk10_nested_rebuild", "SELECT \"MD5\" AS key, count(*) AS n FROM libgenrs_updated WHERE length(\"MD5\") > 0 GROUP BY ALL")
+@R.add("snk10_nested_rebuild", """WITH a AS (SELECT lower(trim(md5)) AS key, count(*) AS n, min(zlibrary_id) AS first FROM zlib_book WHERE regexp_full_match(lower(trim(md5)), '[0-9a-f]{32}') GROUP BY 1), b AS (SELECT lower(trim("MD5")) AS key, count(*) AS n, min("ID") AS first FROM libgenrs_updated WHERE regexp_full_match(lower(trim("MD5")), '[0-9a-f]{32}') GROUP BY 1)
+SELECT coalesce(a.key, b.key) AS key, coalesce(a.n, 0) AS n_zlib, coalesce(b.n, 0) AS n_rs, a.first AS first_zlib, b.first AS first_rs FROM a FULL JOIN b ON a.key = b.key""")
 def snk10(s, d):
-    r = table(s, d, "libgenrs_updated").where("length(MD5) > 0")
-    return r.groupBy(F.col("MD5").alias("key")).agg(F.size(F.collect_list("ID")).cast("long").alias("n"))
+    """One nested document for each file of either catalogue, written and read again."""
+    a = zl(s, d).select(T.canonical_md5(F.col("md5")).alias("k"), "zlibrary_id", "title", "extension", "filesize").where("k is not null")
+    b = table(s, d, "libgenrs_updated").select(T.canonical_md5(F.col("MD5")).alias("k"), "ID", "Title", "Extension", "Size").where("k is not null")
+    keys = a.select(F.col("k").alias("key")).unionByName(b.select(F.col("k").alias("key")))
+    path = scratch(s)
+    G.nested_documents(keys, "key", {"zlib": (a, "k"), "rs": (b, "k")}).write.parquet(path)
+    n = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return s.read.parquet(path).select("key", n("zlib"), n("rs"), F.try_element_at("zlib", F.lit(1))["zlibrary_id"].alias("first_zlib"), F.try_element_at("rs", F.lit(1))["ID"].alias("first_rs"))
 
 
 @R.add("str01_stream_ingest", f"SELECT id, CAST(last_at AS VARCHAR) AS indexed_at FROM ({_LAST})")
@@ -281,12 +302,14 @@ def src12(s, d):
     return I.sitemap(s, [f"{base}/index"], lambda u: f"{base}/maps/kind={u.rsplit('/', 1)[-1][:-4]}", whole_files=False)
 
 
-@R.add("src21_pdf_text")
-def src21(s, d):
-    """Text of PDF files, empty for what is none; rows only, as no PDF library is at hand here."""
-    path = scratch(s)
-    table(s, d, "region").select("r_name").coalesce(1).write.text(path)
-    return I.pdf_text(s, path).select("text")
+if find_spec("pypdf"):
+
+    @R.add("src21_pdf_text")
+    def src21(s, d):
+        """Text of PDF files, empty for what is none; registered only where the PDF library is installed."""
+        path = scratch(s)
+        table(s, d, "region").select("r_name").coalesce(1).write.text(path)
+        return I.pdf_text(s, path).select("text")
 
 
 @R.add("snk02_index_documents", "SELECT 'fetched' AS counter, count(*) AS n FROM engineering_docs UNION ALL SELECT 'indexed', count(*) FROM engineering_docs WHERE length(trim(title)) > 0 UNION ALL SELECT 'errors', count(*) FROM engineering_docs WHERE NOT coalesce(length(trim(title)) > 0, false)")

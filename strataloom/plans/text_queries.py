@@ -85,6 +85,15 @@ def txt11(s, d):
     return docs(s, d).where(at > 0).select("doc_id", F.substr("text", F.greatest(F.lit(1), at - 80), F.lit(160)).alias("fragment"))
 
 
+@R.add("txt11_fragments")
+def txt11_fragments(s, d):
+    """Up to two marked windows of title and of text; rows only, as SQL's patterns know no look-around."""
+    from ..operators.catalogue import window_fragments
+
+    two = docs(s, d).select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), window_fragments(F.col(c), ["gearbox", "valve"]).alias("f")) for c in ("title", "text")])).alias("x"))
+    return two.where("size(x.f) > 0").select("doc_id", "x.field", F.array_join("x.f", "\x01").alias("fragments"))
+
+
 @R.add("txt12_snippet")
 def txt12(s, d):
     """Word-aligned snippet with prefix-aware marks around the first match; rows only, as SQL has no such cut."""
@@ -99,6 +108,18 @@ def txt13(s, d):
     return docs(s, d).select("doc_id", T.cut_at_word(T.collapse(F.col("text"))).alias("chunk"))
 
 
+@R.add("txt13_joined_highlights", r"""WITH s AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\n+'), lambda x: contains(lower(x), 'valve'))[1:2] AS l FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN array_to_string(list_transform(l, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), ' … ') ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS x FROM s), c AS (SELECT doc_id, x, x[1:1200] AS h FROM t)
+SELECT doc_id, CASE WHEN length(x) <= 1200 THEN x ELSE rtrim(CASE WHEN strpos(reverse(h), ' ') > 0 THEN h[1:length(h) - strpos(reverse(h), ' ')] ELSE h END) || ' …' END AS chunk FROM c""")
+def txt13_joined(s, d):
+    """What an agent is shown of each document: its marked lines joined, else its text."""
+    from ..operators.catalogue import content_chunk
+    from ..operators.retrieval import highlight
+
+    marked = highlight(docs(s, d), "doc_id", F.col("text"), ["valve"])
+    return docs(s, d).select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", content_chunk(F.col("fragments"), F.lit(""), F.col("text")).alias("chunk"))
+
+
 @R.add("txt14_strip_description", r"SELECT zlibrary_id, regexp_replace(replace(replace(replace(replace(descr, '</p>', chr(10) || chr(10)), '</P>', chr(10) || chr(10)), '<br>', chr(10)), '<BR>', chr(10)), '<[^<]+?>', '', 'g') AS stripped FROM zlib_book WHERE descr IS NOT NULL")
 def txt14(s, d):
     return table(s, d, "zlib_book").where("descr is not null").select("zlibrary_id", T.strip_description(F.col("descr")).alias("stripped"))
@@ -122,15 +143,15 @@ def txt17(s, d):
 
 _V = "(CASE WHEN upper(x[{i}]) = 'X' THEN 10 ELSE coalesce(try_cast(x[{i}] AS INTEGER), 0) END)"
 _S10 = " + ".join(f"{_V.format(i=i + 1)} * {10 - i}" for i in range(10))
-_S13 = " + ".join(f"{_V.format(i=i + 1)} * {1 if i % 2 == 0 else 3}" for i in range(13))
+S13 = " + ".join(f"{_V.format(i=i + 1)} * {1 if i % 2 == 0 else 3}" for i in range(13))
 _TO13 = " + ".join(f"CAST(('978' || x[1:9])[{i + 1}] AS INTEGER) * {1 if i % 2 == 0 else 3}" for i in range(12))
-_TO10 = " + ".join(f"CAST(x[{i + 4}] AS INTEGER) * {10 - i}" for i in range(9))
+TO10 = " + ".join(f"CAST(x[{i + 4}] AS INTEGER) * {10 - i}" for i in range(9))
 
 
 @R.add("txt18_isbns", rf"""WITH c AS (SELECT "ID" AS id, replace(replace(unnest(regexp_extract_all("ISBN", '[0-9][0-9 -]{{8,15}}[0-9Xx]')), '-', ''), ' ', '') AS x FROM libgenrs_updated WHERE "ISBN" IS NOT NULL),
-ten AS (SELECT id, x FROM c WHERE regexp_full_match(x, '[0-9]{{9}}[0-9Xx]') AND ({_S10}) % 11 = 0), thirteen AS (SELECT id, x FROM c WHERE regexp_full_match(x, '[0-9]{{13}}') AND ({_S13}) % 10 = 0),
+ten AS (SELECT id, x FROM c WHERE regexp_full_match(x, '[0-9]{{9}}[0-9Xx]') AND ({_S10}) % 11 = 0), thirteen AS (SELECT id, x FROM c WHERE regexp_full_match(x, '[0-9]{{13}}') AND ({S13}) % 10 = 0),
 u AS (SELECT id, x AS v FROM ten UNION SELECT id, '978' || x[1:9] || CAST((10 - ({_TO13}) % 10) % 10 AS VARCHAR) FROM ten UNION SELECT id, x FROM thirteen
-UNION SELECT id, x[4:12] || CASE WHEN (11 - ({_TO10}) % 11) % 11 = 10 THEN 'X' ELSE CAST((11 - ({_TO10}) % 11) % 11 AS VARCHAR) END FROM thirteen WHERE x[1:3] = '978')
+UNION SELECT id, x[4:12] || CASE WHEN (11 - ({TO10}) % 11) % 11 = 10 THEN 'X' ELSE CAST((11 - ({TO10}) % 11) % 11 AS VARCHAR) END FROM thirteen WHERE x[1:3] = '978')
 SELECT id, v AS isbn FROM u""")
 def txt18(s, d):
     found = F.regexp_extract_all("ISBN", F.lit("[0-9][0-9 -]{8,15}[0-9Xx]"), F.lit(0))
@@ -138,7 +159,7 @@ def txt18(s, d):
 
 
 @R.add("txt19_isbn_pairs", rf"""WITH c AS (SELECT "ID" AS id, replace(replace(unnest(regexp_extract_all("ISBN", '[0-9][0-9 -]{{8,15}}[0-9Xx]')), '-', ''), ' ', '') AS x FROM libgenrs_updated WHERE "ISBN" IS NOT NULL)
-SELECT DISTINCT id, x AS isbn13, CASE WHEN x[1:3] = '978' THEN x[4:12] || CASE WHEN (11 - ({_TO10}) % 11) % 11 = 10 THEN 'X' ELSE CAST((11 - ({_TO10}) % 11) % 11 AS VARCHAR) END ELSE '' END AS isbn10 FROM c WHERE regexp_full_match(x, '[0-9]{{13}}') AND ({_S13}) % 10 = 0""")
+SELECT DISTINCT id, x AS isbn13, CASE WHEN x[1:3] = '978' THEN x[4:12] || CASE WHEN (11 - ({TO10}) % 11) % 11 = 10 THEN 'X' ELSE CAST((11 - ({TO10}) % 11) % 11 AS VARCHAR) END ELSE '' END AS isbn10 FROM c WHERE regexp_full_match(x, '[0-9]{{13}}') AND ({S13}) % 10 = 0""")
 def txt19(s, d):
     found = F.explode(F.regexp_extract_all("ISBN", F.lit("[0-9][0-9 -]{8,15}[0-9Xx]"), F.lit(0)))
     rows = table(s, d, "libgenrs_updated").where("ISBN is not null").select(F.col("ID").alias("id"), found.alias("x")).select("id", F.regexp_replace("x", "[- ]", "").alias("isbn13"))
@@ -270,4 +291,11 @@ def jsn03(s, d):
     return table(s, d, "events").where(F.get_json_object("props", "$.k").isNotNull() & (F.length("event_type") > 0)).select("event_id")
 
 
+@R.add("prj08_vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: format('{:.7g}', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
+def prj08(s, d):
+    from ..operators.catalogue import vector_literal
+
+    return table(s, d, "embeddings").select("vec_id", vector_literal(F.col("embedding")).alias("literal"))
+
+
 QUERIES, SQL = R.queries, R.sql

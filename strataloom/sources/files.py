@@ -154,7 +154,8 @@ def sitemap(spark: SparkSession, paths: list[str], resolve, depth: int = 5, whol
 
 
 def pdf_text(spark: SparkSession, path: str, pages: int = 40) -> DataFrame:
-    """(name, text) of PDF files; "" where the file cannot be read or no PDF library is installed."""
+    """(name, text) of PDF files; "" where the file cannot be read. Without the library pypdf it raises at once."""
+    from pypdf import PdfReader
 
     def one(content: bytes, reader) -> str:
         import io
@@ -167,6 +168,6 @@ def pdf_text(spark: SparkSession, path: str, pages: int = 40) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"name": b["name"], "text": [one(bytes(c)) for c in b["content"]]})
+            yield pd.DataFrame({"name": b["name"], "text": [one(bytes(c), PdfReader) for c in b["content"]]})
 
     return spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("name"), "content").mapInPandas(run, "name string, text string")
