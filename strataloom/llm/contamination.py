@@ -107,14 +107,19 @@ def scheme_of(n: int) -> Scheme:
     return Scheme(-(-(half - k) // (k + 2)), 1)
 
 
-def _meeting(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, j) of every equal pair of words item[x], text[j]."""
+def _sorted(item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The item's different words in order, where each begins among its sorted places and how often it stands, and the places."""
     order = np.argsort(item, kind="stable")
     new = np.flatnonzero(np.append(True, np.diff(item[order]) != 0))
-    own = item[order][new]
-    at = np.minimum(np.searchsorted(own, text), len(own) - 1)
-    j = np.flatnonzero(own[at] == text)
-    lo, num = new[at[j]], np.diff(np.append(new, len(item)))[at[j]]
+    return item[order][new], new, np.diff(np.append(new, len(item))), order
+
+
+def _meeting(own: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, j) of every equal pair of words item[x], text[j]; own: _sorted(item)."""
+    word, new, often, order = own
+    at = np.minimum(np.searchsorted(word, text), len(word) - 1)
+    j = np.flatnonzero(word[at] == text)
+    lo, num = new[at[j]], often[at[j]]
     j = np.repeat(j, num)
     return order[np.repeat(lo - np.cumsum(num) + num, num) + np.arange(len(j))], j
 
@@ -223,11 +228,11 @@ def _stretches(first: np.ndarray, count: np.ndarray, x: np.ndarray, n: int, most
     return out
 
 
-def leaks(item: np.ndarray, text: np.ndarray, at: int) -> bool:
-    """contains_passage(), after what proves or disproves it at less cost; ``at``: a diagonal where both agree much."""
+def leaks(item: np.ndarray, text: np.ndarray, at: int, own: tuple | None = None) -> bool:
+    """contains_passage(), after what proves or disproves it at less cost; ``at``: a diagonal where both agree much; own: _sorted(item)."""
     n, half = len(item), _least(len(item))
     need = half - half // 8
-    x, j = _meeting(item, text)
+    x, j = _meeting(_sorted(item) if own is None else own, text)
     # enough of the words of some half of the item must stand in the text at all
     there = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n) > 0)])
     if (there[half:] - there[:-half]).max() < need:
@@ -257,8 +262,8 @@ def leaks(item: np.ndarray, text: np.ndarray, at: int) -> bool:
             first = first[each[k] + longest[k] >= size]
         np.add.at(inside, np.clip(d[first], 0, len(text)), 1)
         np.add.at(inside, np.clip(d[first] + n + k + 1, 0, len(text)), -1)
-    own = np.cumsum(inside[:-1]) > 0
-    return bool(own.any()) and (_on_two_diagonals(item, text, d, at) or contains_passage(item, _condensed(text, own, n // 8 + 1)))
+    near = np.cumsum(inside[:-1]) > 0
+    return bool(near.any()) and (_on_two_diagonals(item, text, d, at) or contains_passage(item, _condensed(text, near, n // 8 + 1)))
 
 
 @dataclass
@@ -283,6 +288,7 @@ class Index:
         for i, k in enumerate(n.tolist()):
             if k:
                 groups.setdefault(scheme_of(k), []).append(i)
+        self.sorted: dict[int, tuple] = {}
         self.tables = [self._table(s, np.array(own)) for s, own in groups.items()]
 
     def _table(self, scheme: Scheme, own: np.ndarray) -> _Keys:
@@ -358,9 +364,11 @@ class Index:
         for a, b in zip(new[keep].tolist(), np.append(new[1:], len(t))[keep].tolist()):
             item = self.flat[self.base[o[a]] : self.base[o[a] + 1]]
             text = flat[base[t[a]] : base[t[a] + 1]]
+            if (own := self.sorted.get(int(o[a]))) is None:
+                own = self.sorted[int(o[a])] = _sorted(item)
             top = a + int(same[a:b].argmax())
             # enough equal words on one diagonal are a passage without further proof
-            if same[top] >= _least(len(item)) - _least(len(item)) // 8 or leaks(item, text, int(d[top])):
+            if same[top] >= _least(len(item)) - _least(len(item)) // 8 or leaks(item, text, int(d[top]), own):
                 found.append((int(t[a]), int(o[a])))
         return found
 

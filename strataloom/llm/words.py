@@ -49,4 +49,4 @@ def plain(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of words; null for null, empty for a text without letters and digits."""
-    return F.filter(F.split(plain(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(plain(text), r"[^\p{L}\p{N}]+"), "")
