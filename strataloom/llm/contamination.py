@@ -268,10 +268,12 @@ def leaks(item: np.ndarray, text: np.ndarray, at: int, own: tuple | None = None)
 
 @dataclass
 class _Keys:
-    """The keys of the windows of all items of one scheme, sorted."""
+    """The different keys of the windows of all items of one scheme in order, and the windows by key."""
 
     scheme: Scheme
     key: np.ndarray
+    first: np.ndarray
+    often: np.ndarray
     owner: np.ndarray
     offset: np.ndarray
     bits: int
@@ -298,11 +300,11 @@ class Index:
         k = scheme.keys(self.flat, self.base[owner] + offset, self.base[owner + 1])
         key = k.ravel()
         order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, first, often = np.unique(key[order], return_index=True, return_counts=True)
         bits = max(16, int(np.ceil(np.log2(len(key) * 16))))
         seen = np.zeros(1 << bits, bool)
         seen[key >> np.uint64(64 - bits)] = True
-        return _Keys(scheme, key, np.tile(owner, len(k))[order], np.tile(offset, len(k))[order], bits, seen)
+        return _Keys(scheme, key, first, often, np.tile(owner, len(k))[order], np.tile(offset, len(k))[order], bits, seen)
 
     def _meets(self, flat: np.ndarray, base: np.ndarray) -> Iterator[np.ndarray]:
         """(text, item, diagonal) of the windows that share a key."""
@@ -314,11 +316,12 @@ class Index:
             starts = (base[text] + stride * (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per))).astype(np.int64)
             for row in t.scheme.keys(flat, starts, base[text + 1]):
                 hit = np.flatnonzero(t.seen[row >> np.uint64(64 - t.bits)])
-                lo = np.searchsorted(t.key, row[hit], "left")
-                num = np.searchsorted(t.key, row[hit], "right") - lo
-                hit, lo, num = hit[num > 0], lo[num > 0], num[num > 0]
+                at = np.searchsorted(t.key, row[hit])
+                same = t.key[np.minimum(at, len(t.key) - 1)] == row[hit]
+                hit, at = hit[same], at[same]
                 if not len(hit):
                     continue
+                lo, num = t.first[at], t.often[at]
                 at = np.repeat(lo - np.cumsum(num) + num, num) + np.arange(num.sum())
                 who = np.repeat(hit, num)
                 yield np.stack([text[who], t.owner[at], starts[who] - base[text[who]] - t.offset[at]])
