@@ -32,6 +32,8 @@ FEW = 32
 #: Least words of an item, then width and stride of its windows and the steps in a sample of their walks.
 SIZES = [(24, 6, 1, 8), (32, 8, 2, 9), (64, 12, 3, 9)]
 WALKS, SAMPLES = 2, 4
+#: Words of a text from which its words are looked up once for all items, and words of texts searched at a time.
+LONG, SLICE_WORDS = 500, 150_000
 #: Cells of the tables of edit distances that are held at once.
 CELLS = 2_000_000
 _PAD = np.int64(-7046029254386353131)
@@ -116,10 +118,16 @@ def _sorted(item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def _meeting(own: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, j) of every equal pair of words item[x], text[j]; own: _sorted(item)."""
-    word, new, often, order = own
+    word = own[0]
     at = np.minimum(np.searchsorted(word, text), len(word) - 1)
     j = np.flatnonzero(word[at] == text)
-    lo, num = new[at[j]], often[at[j]]
+    return _spread(own, at[j], j)
+
+
+def _spread(own: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, j) for the words of the text at j, each of which is the item's different word number at."""
+    _, new, often, order = own
+    lo, num = new[at], often[at]
     j = np.repeat(j, num)
     return order[np.repeat(lo - np.cumsum(num) + num, num) + np.arange(len(j))], j
 
@@ -228,11 +236,11 @@ def _stretches(first: np.ndarray, count: np.ndarray, x: np.ndarray, n: int, most
     return out
 
 
-def leaks(item: np.ndarray, text: np.ndarray, at: int, own: tuple | None = None) -> bool:
-    """contains_passage(), after what proves or disproves it at less cost; ``at``: a diagonal where both agree much; own: _sorted(item)."""
+def leaks(item: np.ndarray, text: np.ndarray, at: int, met: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
+    """contains_passage(), after what proves or disproves it at less cost; ``at``: a diagonal where both agree much; met: as _meeting() gives it."""
     n, half = len(item), _least(len(item))
     need = half - half // 8
-    x, j = _meeting(_sorted(item) if own is None else own, text)
+    x, j = _meeting(_sorted(item), text) if met is None else met
     # enough of the words of some half of the item must stand in the text at all
     there = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n) > 0)])
     if (there[half:] - there[:-half]).max() < need:
@@ -291,6 +299,9 @@ class Index:
             if k:
                 groups.setdefault(scheme_of(k), []).append(i)
         self.sorted: dict[int, tuple] = {}
+        self.vocabulary = np.unique(flat)
+        # of each different word of the items, its number among those of the item at hand; none otherwise
+        self.place = np.full(len(self.vocabulary) + 1, -1, np.int32)
         self.tables = [self._table(s, np.array(own)) for s, own in groups.items()]
 
     def _table(self, scheme: Scheme, own: np.ndarray) -> _Keys:
@@ -343,6 +354,16 @@ class Index:
                 out[r] = np.maximum(upto[:, half - 1], (upto[:, half:] - upto[:, :-half]).max(1, initial=0))
         return out
 
+    def search_all(self, flat: np.ndarray, base: np.ndarray) -> list[tuple[int, int]]:
+        """As search(), a slice of texts at a time that stays in the processor's cache."""
+        out = []
+        a = 0
+        while a < len(base) - 1:
+            b = max(a + 1, int(np.searchsorted(base, base[a] + SLICE_WORDS, "right")) - 1)
+            out += [(a + t, o) for t, o in self.search(flat[base[a] : base[b]], base[a : b + 1] - base[a])]
+            a = b
+        return out
+
     def search(self, flat: np.ndarray, base: np.ndarray) -> list[tuple[int, int]]:
         """(text number, item number) of verified leaks among the texts flat[base[t]:base[t + 1]]."""
         met = list(self._meets(flat, base))
@@ -364,14 +385,30 @@ class Index:
         total = np.append(0, np.cumsum(same))
         keep = np.maximum.reduceat(total[upto] - total[:-1], new) >= np.where(n < FEW, 1, (half - half // 8 + 1) // 2)
         found: list[tuple[int, int]] = []
+        coded, codes = -1, None
         for a, b in zip(new[keep].tolist(), np.append(new[1:], len(t))[keep].tolist()):
             item = self.flat[self.base[o[a]] : self.base[o[a] + 1]]
             text = flat[base[t[a]] : base[t[a] + 1]]
             if (own := self.sorted.get(int(o[a]))) is None:
                 own = self.sorted[int(o[a])] = _sorted(item)
+            if len(text) > LONG and t[a] != coded:
+                # looked up once for all items
+                coded, codes = t[a], np.searchsorted(self.vocabulary, text)
+                codes[self.vocabulary[np.minimum(codes, len(self.vocabulary) - 1)] != text] = len(self.vocabulary)
+
+            def meeting(own=own, text=text, codes=codes):
+                if len(text) <= LONG:
+                    return _meeting(own, text)
+                ids = np.searchsorted(self.vocabulary, own[0])
+                self.place[ids] = np.arange(len(ids))
+                at = self.place[codes]
+                self.place[ids] = -1
+                j = np.flatnonzero(at >= 0)
+                return _spread(own, at[j], j)
+
             top = a + int(same[a:b].argmax())
             # enough equal words on one diagonal are a passage without further proof
-            if same[top] >= _least(len(item)) - _least(len(item)) // 8 or leaks(item, text, int(d[top]), own):
+            if same[top] >= _least(len(item)) - _least(len(item)) // 8 or leaks(item, text, int(d[top]), meeting()):
                 found.append((int(t[a]), int(o[a])))
         return found
 
@@ -407,7 +444,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 col = batch.column(1)
                 flat = col.flatten().to_numpy(zero_copy_only=False)
                 base = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                got = ix.search(flat, base) if ix.ids else []
+                got = ix.search_all(flat, base) if ix.ids else []
                 yield pa.RecordBatch.from_arrays([pa.array([int(ks[t]) for t, _ in got], pa.int64()), pa.array([ix.ids[o] for _, o in got], pa.int64())], ["doc_id", "item_id"])
 
         found = seqs.mapInArrow(run, "doc_id long, item_id long")

@@ -114,3 +114,17 @@ def test_frame(spark):
     assert [tuple(r) for r in C.find_leaks(docs, items).collect()] == [(1, 7)]
     assert sorted(tuple(r) for r in C.find_leaks(docs, items, block_words=5).collect()) == [(1, 7)]
     assert C.find_leaks(docs.limit(0), items).count() == 0 and C.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_slices_change_nothing():
+    rng = np.random.default_rng(8)
+    items = [rng.integers(0, 300, int(n)) for n in rng.integers(5, 90, 30)]
+    texts = [np.concatenate([rng.integers(0, 300, int(n)), items[i % 30][: len(items[i % 30]) * 3 // 4], rng.integers(0, 300, 20)]) for i, n in enumerate(rng.integers(0, 900, 80))] + [np.empty(0, np.int64)] * 3
+    flat, base = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    whole = index(items).search(flat, base)
+    was, C.SLICE_WORDS = C.SLICE_WORDS, 700
+    try:
+        assert sorted(index(items).search_all(flat, base)) == sorted(whole) and len(whole) >= 80
+    finally:
+        C.SLICE_WORDS = was
+    assert index(items).search_all(np.empty(0, np.int64), np.zeros(1, np.int64)) == []
