@@ -188,7 +188,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     titled = rows.where(F.length("t") >= 3).withColumn("c", F.xxhash64("t", "cut"))
     titles = materialize(titled.select("c", "t", "cut").dropDuplicates(["c"]))
     side = lambda df, i: df.select(*[F.col(c) if c in ("band", "key") else F.col(c).alias(f"{c}{i}") for c in df.columns])
-    bands = materialize(_title_bands(titles))
+    bands = _title_bands(titles)
     near = similar(side(bands, 1).join(side(bands, 2), ["band", "key"]).where("c1 < c2"))
     # one title word, one name and the year: for titles that are damaged or cut short
     low = lambda arr, i: F.array_min(F.transform(arr, lambda w: F.xxhash64(w, F.lit(i))))
@@ -200,13 +200,15 @@ def candidates(rows: DataFrame) -> DataFrame:
     joint = lows.select("c", F.explode(F.array(*dated, *worded)).alias("key")).where("key is not null").repartition("key").distinct()
     by_name = side(joint, 1).join(side(joint, 2), "key").where("c1 < c2").select("c1", "c2").distinct()
     named = similar(by_name.join(side(titles, 1), "c1").join(side(titles, 2), "c2"))
-    return records_of(near.unionByName(named).dropDuplicates(["c1", "c2"]), titles, titled)
+    return records_of(near.unionByName(named), titles, titled)
 
 
 def records_of(similar_titles: DataFrame, titles: DataFrame, titled: DataFrame) -> DataFrame:
     """The pairs of records of similar or equal titles, with the features of the titles and the fields of both records."""
     side = lambda i: titled.select(*[F.col(c).alias(f"{c}{i}") for c in ("n", "tab", "c", *ATTRS)])
-    close = similar_titles.select("c1", "c2", F.struct(*title_features()).alias("tf"))
+    # features are numbers, so a pair that several bands found is brought together without its strings
+    feats = similar_titles.select("c1", "c2", *title_features()).groupBy("c1", "c2").agg(*[F.max(f).alias(f) for f in TITLE])
+    close = feats.select("c1", "c2", F.struct(*TITLE).alias("tf"))
     same = titles.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.struct(*[F.lit(float(f in ("title", "title_exact", "title_near"))).cast("float").alias(f) for f in TITLE]).alias("tf"))
     hit = close.unionByName(same).join(side(1), "c1").join(side(2), "c2").where("tab1 != tab2 and (c1 != c2 or n1 < n2)")
     return hit.withColumnsRenamed({"n1": "a", "n2": "b"})
