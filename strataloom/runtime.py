@@ -60,6 +60,16 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized table that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if not folder.rsplit("/", 1)[-1].startswith("strataloom-"):
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 #: Bytes of a table in memory that is broadcast at most.
 MAX_BROADCAST_BYTES = 64 << 20
 
