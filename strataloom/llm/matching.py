@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 from .edits import distances
 from .learn import bounded_sample, logistic
 from .survivorship import file_hash
@@ -62,8 +62,8 @@ def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, ye
     """The catalogue's rows in the common form; fields it lacks are not named. Each step is a projection of its own, so
     that a step's result is computed once however often the next one uses it.
 
-    rec, tab; t, cut: title without subtitle, volume and edition, and whether it was cut short; names: hashes of the words
-    of people's names; grams: hashes of their trigrams; y; lang: bits of languages; pub; vol; ed; hash.
+    rec, tab; t, cut: title without subtitle, volume and edition, and whether it was cut short; people: the words of their
+    names; names: hashes of them; y; lang: bits of languages; pub; vol; ed; hash.
     """
     col = lambda c: F.col(c) if c else F.lit(None).cast("string")
     raw = df.select(
@@ -94,14 +94,19 @@ def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, ye
     lang = F.aggregate("l", F.lit(0), lambda acc, w: acc.bitwiseOR(F.coalesce(F.try_element_at(code, w), F.lit(0))))
     pub = F.regexp_replace("pub", r"\b(?:press|publishing|publishers?|verlag|editions?|books|academic|ltd|inc|co|gmbh|company|and|the|limited)\b|[^a-z0-9]", "")
     named = cut3.withColumn("w", names)
-    gram = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: (F.xxhash64(F.substr(w, i, F.lit(3))) % 32749).cast("short"))
     return named.select(
         "rec", F.lit(tab).alias("tab"), "t", "cut", F.array_sort(F.transform("w", lambda w: (F.xxhash64(w) % 2147483629).cast("int"))).alias("names"),
-        F.array_distinct(F.flatten(F.transform("w", gram))).alias("grams"), F.regexp_extract("y", r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1).try_cast("int").alias("y"), lang.alias("lang"), F.when(F.length(pub) > 0, pub).alias("pub"),
+        F.col("w").alias("people"), F.regexp_extract("y", r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1).try_cast("int").alias("y"), lang.alias("lang"), F.when(F.length(pub) > 0, pub).alias("pub"),
         F.coalesce(_number(F.col("v0")), _number(F.col("vt"))).alias("vol"), F.coalesce(_number(F.col("e0")), _number(F.col("et"))).alias("ed"), file_hash(F.col("h")).alias("fh"),
     ).withColumn("hash", F.when(F.col("fh").isNotNull(), F.xxhash64("fh"))).drop("fh")
 
 
+def with_grams(rows: DataFrame) -> DataFrame:
+    """The rows with hashes of the trigrams of people's names in place of the names."""
+    gram = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: (F.xxhash64(F.substr(w, i, F.lit(3))) % 32749).cast("short"))
+    return rows.withColumn("grams", F.array_distinct(F.flatten(F.transform("people", gram)))).drop("people")
+
+
 def books(li: DataFrame, rs: DataFrame, zl: DataFrame) -> DataFrame:
     """The three catalogues in the common form, each named by its tab and key."""
     a = comparable(li, "li", F.concat(F.lit("li:"), F.col("e_id")), "title", "authors", "year", "language", None, None, "subtitle", "volume", "edition")
@@ -292,10 +297,12 @@ def match(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -
     without a title matches nothing; nulls elsewhere count as unknown; an empty catalogue gives no pairs.
     """
     rows = materialize(rows.withColumn("n", F.xxhash64("tab", "t", "cut", "names", "y", "lang", "pub", "vol", "ed", "hash")))
-    reps = materialize(rows.drop("rec").dropDuplicates(["n"]))
+    # trigrams are larger than the names they are made of, so they wait until equal records are one
+    reps = materialize(with_grams(rows.drop("rec").dropDuplicates(["n"])))
+    mem = materialize(rows.select("n", "rec"))
+    discard(rows)
     pairs = candidates(reps)
     pairs = materialize(scored(pairs))
     hit = accepted(pairs, *train(pairs, sample), threshold)
-    mem = rows.select("n", "rec")
     out = hit.join(mem.select(F.col("n").alias("a"), F.col("rec").alias("ra")), "a").join(mem.select(F.col("n").alias("b"), F.col("rec").alias("rb")), "b")
     return out.select(F.least("ra", "rb").alias("rec_a"), F.greatest("ra", "rb").alias("rec_b"), F.round("confidence", 6).alias("confidence"))

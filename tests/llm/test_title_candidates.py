@@ -70,7 +70,7 @@ def test_recall_against_all_pairs(spark, sf):
     from strataloom.runtime import materialize, table
 
     d = sf.replace("sf0.001", "sf0.01")
-    rows = materialize(M.books(table(spark, d, "libgenli_editions"), table(spark, d, "libgenrs_updated"), table(spark, d, "zlib_book")).withColumn("n", F.xxhash64("rec"))).where("length(t) >= 3")
+    rows = materialize(M.with_grams(M.books(table(spark, d, "libgenli_editions"), table(spark, d, "libgenrs_updated"), table(spark, d, "zlib_book")).withColumn("n", F.xxhash64("rec")))).where("length(t) >= 3")
     found = M.scored(M.candidates(rows)).cache()
     w = M.train(found)
     got = {(r.a, r.b) for r in M.accepted(found, *w).collect()}
