@@ -96,7 +96,7 @@ def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, ye
     named = cut3.withColumn("w", names)
     return named.select(
         "rec", F.lit(tab).alias("tab"), "t", "cut", F.array_sort(F.transform("w", lambda w: (F.xxhash64(w) % 2147483629).cast("int"))).alias("names"),
-        F.col("w").alias("people"), F.regexp_extract("y", r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1).try_cast("int").alias("y"), lang.alias("lang"), F.when(F.length(pub) > 0, pub).alias("pub"),
+        F.array_join("w", " ").alias("people"), F.regexp_extract("y", r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1).try_cast("int").alias("y"), lang.alias("lang"), F.when(F.length(pub) > 0, pub).alias("pub"),
         F.coalesce(_number(F.col("v0")), _number(F.col("vt"))).alias("vol"), F.coalesce(_number(F.col("e0")), _number(F.col("et"))).alias("ed"), file_hash(F.col("h")).alias("fh"),
     ).withColumn("hash", F.when(F.col("fh").isNotNull(), F.xxhash64("fh"))).drop("fh")
 
@@ -104,7 +104,7 @@ def comparable(df: DataFrame, tab: str, rec: Column, title: str, people: str, ye
 def with_grams(rows: DataFrame) -> DataFrame:
     """The rows with hashes of the trigrams of people's names in place of the names."""
     gram = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: (F.xxhash64(F.substr(w, i, F.lit(3))) % 32749).cast("short"))
-    return rows.withColumn("grams", F.array_distinct(F.flatten(F.transform("people", gram)))).drop("people")
+    return rows.withColumn("grams", F.array_distinct(F.flatten(F.transform(F.array_remove(F.split("people", " "), ""), gram)))).drop("people")
 
 
 def books(li: DataFrame, rs: DataFrame, zl: DataFrame) -> DataFrame:
