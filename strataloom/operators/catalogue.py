@@ -158,10 +158,17 @@ def content_chunk(highlights: Column, abstract: Column, body: Column) -> Column:
 
 
 def vector_literal(vector: Column) -> Column:
-    """[a,b,c] with seven significant digits, as %.7g writes them; null for null and for an empty vector."""
+    """[a,b,c] with seven significant digits, as %.7g writes them; null for null and for an empty vector.
+
+    Exact for single-precision entries, as vectors have; a double whose shortest decimal form ends in a 5 at the eighth
+    digit is rounded by that form.
+    """
 
     def short(x: Column) -> Column:
-        s = F.format_string("%.6e", x.cast("double"))
+        # the JVM rounds a half up, %.7g to the even digit
+        full = F.format_string("%.17e", x.cast("double"))
+        cut = F.concat(F.regexp_extract(full, r"^-?\d\.\d{6}", 0), F.regexp_extract(full, "e.*$", 0))
+        s = F.when(full.rlike(r"^-?\d\.\d{5}[02468]50*e"), cut).otherwise(F.format_string("%.6e", x.cast("double")))
         m, e = F.substring_index(s, "e", 1), F.substring_index(s, "e", -1)
         bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
         plain = bare(s.cast("decimal(38,18)").cast("decimal(38,12)").cast("string"))

@@ -76,7 +76,7 @@ def test_content_chunk(spark):
     assert got[:4] == ["a b … c", "x y", "abs", ""] and got[4].endswith(" …") and len(got[4]) <= 1202
 
 
-@pytest.mark.parametrize("x", [0.0, 1.0, -1.5, 0.1, 1 / 3, 123456.789, 1234567.0, 12345678.0, 1e-4, 1.5e-5, 9999999.6, -2.5e-9, 3e20, 0.00012345678])
+@pytest.mark.parametrize("x", [0.0, 1.0, -1.5, 0.1, 1 / 3, 123456.789, 1234567.0, 12345678.0, 1e-4, 1.5e-5, 9999999.6, -2.5e-9, 3e20, 0.00012345678, 0.12890625, 0.12890675048828125, -1.2890625])
 def test_vector_literal(spark, x):
     df = spark.createDataFrame([([x, 1.0],), ([],), (None,)], "v array<double>")
     assert [r.s for r in df.select(G.vector_literal(F.col("v")).alias("s")).collect()] == [f"[{x:.7g},1]", None, None]
